@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.canonical import canonical_text, changed_cells
 from pagewright.llm.encoding import garbled_cells
+from pagewright.llm.mixing import mix
+from pagewright.llm.packing import CAPACITY, containers
 from pagewright.llm.runs import repeated_runs
 from pagewright.llm.splitting import LIMIT, split_texts
 from pagewright.llm.transcripts import speaker_turns
@@ -73,7 +75,25 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return p6_runs(spark, sf).select("audio_key", "first_segment_id", "last_segment_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_turns, p3_found, p3_canonical, p5_found, p5_pieces, p6_found, p6_runs)}
+def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
+    return containers(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """How full the containers are."""
+    per = p7_containers(spark, sf).groupBy("container_id").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("items"))
+    return per.agg(F.count(F.lit(1)).alias("containers"), F.sum("items").alias("items"), F.sum("n").alias("tokens"), F.max("n").alias("fullest"), (F.sum("n") / (F.count(F.lit(1)) * CAPACITY)).alias("fill"))
+
+
+def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mix(table(spark, sf, "documents").select("doc_id", "source", "text"), table(spark, sf, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mix(table(spark, sf, "documents").select("doc_id", "source", "text"), table(spark, sf, "mix_targets"))[1]
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_turns, p3_found, p3_canonical, p5_found, p5_pieces, p6_found, p6_runs, p7_containers, p7_fill, p8_mix, p8_shares)}
 
 SQL: dict[str, str] = {
     "p5_found": "SELECT DISTINCT cell_id FROM textline_cells WHERE length(text) > 320",

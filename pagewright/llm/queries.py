@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pagewright.llm.canonical import canonical_text, changed_cells
 from pagewright.llm.encoding import garbled_cells
 from pagewright.llm.mixing import mix
+from pagewright.llm.moderation import moderate, rates
 from pagewright.llm.packing import CAPACITY, containers
 from pagewright.llm.runs import repeated_runs
 from pagewright.llm.splitting import LIMIT, split_texts
@@ -93,7 +94,19 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mix(table(spark, sf, "documents").select("doc_id", "source", "text"), table(spark, sf, "mix_targets"))[1]
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_turns, p3_found, p3_canonical, p5_found, p5_pieces, p6_found, p6_runs, p7_containers, p7_fill, p8_mix, p8_shares)}
+def p9_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return moderate(table(spark, sf, "documents").select("doc_id", "source", "text"), table(spark, sf, "review_labels"))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p9_scores(spark, sf).where("flagged").select("doc_id").distinct()
+
+
+def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return rates(p9_scores(spark, sf))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_turns, p3_found, p3_canonical, p5_found, p5_pieces, p6_found, p6_runs, p7_containers, p7_fill, p8_mix, p8_shares, p9_found, p9_scores, p9_rates)}
 
 SQL: dict[str, str] = {
     "p5_found": "SELECT DISTINCT cell_id FROM textline_cells WHERE length(text) > 320",

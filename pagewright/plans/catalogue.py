@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pagewright.plans import nested
+from pagewright.plans import exports, nested
 
-_MODULES = (nested,)
+_MODULES = (exports, nested)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}

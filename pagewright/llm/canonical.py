@@ -170,14 +170,19 @@ def canonical(text: str | None) -> str | None:
     return text if text is None or text.isascii() else _scripts(_loose(text))
 
 
+#: Ranges of characters that are stable, visible and of one width (fixed values); whatever lies outside is looked at closer.
+STABLE = (
+    "\\u0000-\\u009f\\u00a1-\\u00ac\\u00ae-\\u0130\\u0132-\\u024f\\u0370-\\u0373\\u0376-\\u037d\\u0384-\\u0386\\u0388-\\u03f1\\u03f3-\\u03f8\\u03fa-\\u0482\\u048a-\\u052f"
+    "\\u2010-\\u2027\\u2030-\\u205e\\u20a0-\\u20bf\\u2100-\\u2125\\u2127-\\u2129\\u212c-\\u2328\\u232b-\\u2adb\\u3001-\\u3029\\u3030-\\u3098\\u309b-\\u30ff\\u3400-\\u9fff\\uac00-\\ud7a3"
+)
+
+
 def may_change(text: str | Column) -> Column:
-    """The quick check, in the JVM: false only for texts that are canonical."""
+    """The quick check, in the JVM: false only for texts that are canonical. Each pattern takes one pass."""
     c = F.col(text) if isinstance(text, str) else text
-    loose = f"[{unstable_class()}{INVISIBLE}{BLANKS}{WIDTH}]"
-    latin, other = "[A-Za-z\u00c0-\u024f]", "[\u0370-\u058f\u1f00-\u1fff]"
-    greek, rest = "[\u0370-\u03ff\u1f00-\u1fff]", "[\u0400-\u058f]"
-    mixed = "|".join(f"{a}[\\s\\S]*{b}|{b}[\\s\\S]*{a}" for a, b in ((latin, other), (greek, rest)))
-    return F.coalesce(c.rlike(f"{loose}|[\u0250-\u02af\u0131\u0530-\u058f\u03f2\u03f9]|{mixed}"), F.lit(False))
+    latin, greek, cyrillic = c.rlike("[A-Za-z\\u00c0-\\u024f]"), c.rlike("[\\u0370-\\u03ff]"), c.rlike("[\\u0400-\\u052f]")
+    check = c.rlike(f"[^{STABLE}]") | (latin & c.rlike("[\\u0370-\\u052f]")) | (greek & cyrillic)
+    return F.coalesce(c.rlike("[^\\x00-\\x7F]") & check, F.lit(False))
 
 
 def _canonical(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.sequences import collapse_runs, previous_in_sequence
 from pagewright.llm.transcripts import read_segments
+from pagewright.session import cut_lineage
 
 #: A slip's word is at most this share as frequent as the word it stands for.
 RARE_SHARE = 0.1
@@ -36,37 +37,32 @@ def repeated_runs(df: DataFrame, least: int = 2) -> DataFrame:
     said = read_segments(df)
     words, notes = F.size("words") > 0, F.size("notes") > 0
     sig = F.when(words, F.col("words")).when(notes, F.concat(F.array(F.lit("♪")), "notes"))
-    said = said.withColumn("sig", sig)
+    label = F.when(words, F.col("said")).otherwise(F.array_join("notes", ", "))
+    said = said.select("audio_key", "segment_id", "start_time", "end_time", "chunk", label.alias("said"), sig.alias("sig"))
     seen = previous_in_sequence(said, "audio_key", ["start_time", "segment_id"], "sig", 2)
 
     def near(a: str, b: str) -> Column:
         """Differences that may be slips; null where the texts can't be the same."""
         d = _apart(F.col(a), F.col(b))
-        same_kind = (F.size(a) == F.size(b)) & F.col(a)[0].isNotNull() & ((F.col(a)[0] == "♪") == (F.col(b)[0] == "♪"))
-        return F.when(same_kind, F.when((F.size(d) <= 2) & F.forall(d, _slip) & ((F.size(d) == 0) | (F.col(a)[0] != "♪")), d))
-
-    seen = seen.withColumns({"d1": near("sig", "sig_1"), "d2": near("sig", "sig_2"), "d12": near("sig_1", "sig_2")})
-    counts = said.select(F.explode("words").alias("w")).groupBy("w").count()
-    pairs = seen.select(F.explode(F.flatten(F.array_compact(F.array("d1", "d2", "d12")))).alias("p")).select(F.col("p.x").alias("x"), F.col("p.y").alias("y")).distinct()
+        sound = F.col(a)[0] == "♪"
+        same_kind = (F.size(a) == F.size(b)) & F.col(a)[0].isNotNull() & (sound == (F.col(b)[0] == "♪"))
+        return F.when(same_kind, F.when((F.size(d) <= 2) & F.forall(d, _slip) & ((F.size(d) == 0) | ~sound), d))
+
+    near_ = {"d1": near("sig", "sig_1"), "d2": near("sig", "sig_2"), "d12": near("sig_1", "sig_2")}
+    seen = cut_lineage(seen.withColumns(near_).drop("sig_1", "sig_2", "has_1", "has_2"))
+    # the words of all segments tell which differences are slips
+    counts = seen.where(F.col("sig")[0] != "♪").select(F.explode("sig").alias("w")).groupBy("w").count()
+    every = F.flatten(F.array_compact(F.array("d1", "d2", "d12")))
+    asked = seen.select("audio_key", "segment_id", F.explode(F.array_distinct(every)).alias("p")).select("audio_key", "segment_id", "p", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
     x, y = counts.select(F.col("w").alias("x"), F.col("count").alias("nx")), counts.select(F.col("w").alias("y"), F.col("count").alias("ny"))
     lo, hi = F.least("nx", "ny"), F.greatest("nx", "ny")
-    close = F.levenshtein("x", "y") <= 2
-    fine = (close & ((lo <= hi * RARE_SHARE) | (hi <= 5))) | ((hi <= F.lit(5)) & (F.length("x") >= 5))
-    slips = pairs.join(x, "x").join(y, "y").where(fine).select("x", "y")
-
-    def settle(part: DataFrame, name: str) -> DataFrame:
-        """Of segments with differences name, those all of whose differences are slips."""
-        e = part.where(F.size(name) > 0).select("audio_key", "segment_id", F.explode(name).alias("p"))
-        ok = e.select("audio_key", "segment_id", F.col("p.x").alias("x"), F.col("p.y").alias("y")).join(slips.withColumn("ok", F.lit(1)), ["x", "y"], "left")
-        return ok.groupBy("audio_key", "segment_id").agg((F.count("ok") == F.count(F.lit(1))).alias(f"{name}_ok"))
-
-    flags = seen.select("audio_key", "segment_id", "start_time", "end_time", "chunk", "said", "sig", "notes", "d1", "d2", "d12")
-    for name in ("d1", "d2", "d12"):
-        flags = flags.join(settle(seen, name), ["audio_key", "segment_id"], "left")
-    same = {n: F.coalesce(F.when(F.size(n) == 0, F.lit(True)).otherwise(F.col(f"{n}_ok")), F.lit(False)) & F.col(n).isNotNull() for n in ("d1", "d2", "d12")}
+    fine = ((F.levenshtein("x", "y") <= 2) & ((lo <= hi * RARE_SHARE) | (hi <= 5))) | ((hi <= 5) & (F.length("x") >= 5))
+    slips = asked.join(x, "x").join(y, "y").where(fine).groupBy("audio_key", "segment_id").agg(F.collect_set("p").alias("slips"))
+    flags = seen.where("sig is not null").join(slips, ["audio_key", "segment_id"], "left")
+    known = F.coalesce("slips", F.array().cast(seen.schema["d1"].dataType))
+    same = {n: F.coalesce(F.size(F.array_except(F.col(n), known)) == 0, F.lit(False)) for n in near_}
     link = same["d1"] | (same["d2"] & same["d12"])
     end = F.greatest(F.coalesce("end_time", "start_time"), F.col("start_time"))
-    label = F.when(F.col("sig")[0] == "♪", F.array_join("notes", ", ")).otherwise(F.col("said"))
-    marked = flags.where("sig is not null").select("audio_key", "segment_id", "start_time", end.alias("end_time"), "chunk", (~link).alias("is_start"), F.lit(None).cast("string").alias("value"), label.alias("said"))
+    marked = flags.select("audio_key", "segment_id", "start_time", end.alias("end_time"), "chunk", (~link).alias("is_start"), F.lit(None).cast("string").alias("value"), "said")
     runs = collapse_runs(marked, "audio_key").where(F.col("events") >= least)
     return runs.select("audio_key", "first_segment_id", "last_segment_id", "text", F.col("events").alias("count"), "start_time", F.col("last_end").alias("end_time"), (F.col("last_end") - F.col("start_time")).alias("duration"))

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from pagewright.llm import peg
 from pagewright.llm.sequences import carry_forward, chunk_of, collapse_runs, previous_in_sequence
+from pagewright.session import cut_lineage
 
 _TITLES = frozenset("the dr mr mrs ms miss prof professor sir herr frau m mme mlle monsieur madame sr sra srta don doña le la el der die".split())
 _NUMBERED = re.compile(r"^(?:speaker|spkr|spk|s|sprecher|locuteur|intervenant|hablante|orador|participant|voice|channel)? ?0*(\d+)$")
@@ -103,7 +104,7 @@ def _read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFra
 def read_segments(df: DataFrame) -> DataFrame:
     """audio_key, segment_id, start_time, end_time, chunk, words, said, notes, speaker_key, speaker_name: one row per segment."""
     own = df.select("audio_key", "segment_id", "start_time", "end_time", "text", "voice").where("audio_key is not null and segment_id is not null and start_time is not null")
-    read = own.dropDuplicates(["audio_key", "segment_id"]).withColumn("r", F.pandas_udf(_read, _READ)("text", "voice")).select("audio_key", "segment_id", "start_time", "end_time", "voice", "text", "r.*")
+    read = cut_lineage(own.dropDuplicates(["audio_key", "segment_id"]).withColumn("r", F.pandas_udf(_read, _READ)("text", "voice")).select("audio_key", "segment_id", "start_time", "end_time", "voice", "r.*"))
     known = (
         read.select("audio_key", F.explode(F.array(F.when(F.col("label_sure"), F.col("label_key")), F.col("voice_key"))).alias("label_key"))
         .where("label_key is not null")

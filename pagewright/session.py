@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,3 +37,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Hints a broadcast only when a count proves at most max_rows; the join shuffles otherwise."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+@contextmanager
+def quick_building() -> Iterator[None]:
+    """Large plans are built without a call site for each expression, which takes several calls to the JVM apiece."""
+    from pyspark.errors import utils
+
+    before = getattr(utils, "_enable_debugging_cache", None)
+    utils._enable_debugging_cache = False
+    try:
+        yield
+    finally:
+        utils._enable_debugging_cache = before

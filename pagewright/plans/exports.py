@@ -9,6 +9,8 @@ from pagewright.functions.text import SPACE, document_key, extension, slug
 from pagewright.session import table
 from pagewright.sinks import export
 from pagewright.sources import plain
+from pagewright.sources.convert import convert, read_segmented
+from pagewright.sources.files import html_lines
 from pagewright.sources.layout import lay_out, page_json, page_struct
 
 
@@ -130,3 +132,25 @@ SQL = {
     "document_slugs": f"SELECT run_id, lpad(CAST(doc_index AS VARCHAR), 4, '0') || '-' || CASE WHEN s = '' THEN 'document' ELSE s END AS slug, regexp_replace(stem, '[ .]', '_', 'g') || '_' || run_id AS document_key FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(stem, '[^\\p{{L}}\\p{{Nd}}]', '_', 'g')), '_{{2,}}', '_', 'g'), '^_+', ''), '_+$', '') AS s FROM (SELECT *, {_STEM} AS stem FROM runs))",
     "src_xml_cells": f"WITH c AS (SELECT DISTINCT cell_id, text FROM word_cells WHERE text IS NOT NULL), w AS (SELECT cell_id, [t for t in [{_sql_trim('x')} for x in string_split(text, ' ')] if t <> ''] AS ls FROM c) SELECT cell_id, CAST(generate_subscripts(ls, 1) - 1 AS BIGINT) AS pos, unnest(ls) AS text FROM w",
 }
+
+
+def src_html_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Elements of HTML in messages' raw text."""
+    return _cells(spark, sf, html_lines("text"))
+
+
+def src_mail_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents as .eml files: one page each, by number of cells and the first lines."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("doc_key"), F.lit("a.eml").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    cells = F.col("page.textline_cells")
+    return convert(d).select("doc_key", "page_no", F.size(cells).alias("cells"), F.get(cells, F.lit(0))["text"].alias("first"), F.get(cells, F.lit(4))["rect"]["r_y2"].alias("body_top"), "error")
+
+
+def src_segmented_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Segmented JSON and envelopes as typed pages, by their sizes."""
+    p = read_segmented(table(spark, sf, "segmented_pages"))
+    n = lambda c: F.coalesce(F.size(f"page.{c}"), F.lit(-1)).alias(c)
+    return p.select("record_id", n("char_cells"), n("textline_cells"), n("shapes"), n("bitmap_resources"), F.col("page.has_chars").alias("has_chars"))
+
+
+QUERIES.update({f.__name__: f for f in (src_html_cells, src_mail_pages, src_segmented_pages)})

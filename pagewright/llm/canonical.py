@@ -138,10 +138,9 @@ def _scripts(text: str) -> str:
         return text
     words = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(text)]
     kinds = [{s for s in map(script, w) if s} for _, _, w in words]
-    pure = {s: sum(len(w) for (_, _, w), k in zip(words, kinds) if k == {s} and not set(w) <= _SHARED) for s in (LATIN, CYRILLIC, GREEK)}
-    alike = {s: sum(len(w) for (_, _, w), k in zip(words, kinds) if k == {s}) for s in (LATIN, CYRILLIC, GREEK)}
-    total = sum(pure.values())
-    line = max(pure, key=lambda s: (pure[s], alike[s])) if total else max(alike, key=lambda s: alike[s]) if any(alike.values()) else None
+    letters = {s: sum(len(w) for (_, _, w), k in zip(words, kinds) if k == {s}) for s in (LATIN, CYRILLIC, GREEK)}
+    line = max(letters, key=lambda s: letters[s]) if any(letters.values()) else None
+    rest = sum(len(w) for (_, _, w), k in zip(words, kinds) if len(k) == 1) - (letters[line] if line else 0)
     out, at = [], 0
     for (a, b, w), k in zip(words, kinds):
         new = None
@@ -151,7 +150,7 @@ def _scripts(text: str) -> str:
             if fits:
                 host = max(fits, key=lambda h: (_own(w, h), h == line, sum(script(c) == h for c in w)))
                 new = fits[host]
-        elif len(k) == 1 and line is not None and k != {line} and total and pure[line] == total and set(w) <= _SHARED:
+        elif len(k) == 1 and line is not None and k != {line} and rest == len(w) and letters[line] >= max(6, 2 * len(w)):
             # a whole word of look-alikes in a line otherwise in one script; not a unit, a sign or a code
             if not (text[a - 1 : a] in ("°", "&", "/", "@", "#", "_") and a) and not text[b : b + 1].isdigit() and not text[a - 1 : a].isdigit():
                 new = _fits(w, line)
@@ -167,7 +166,14 @@ def _phonetic(word: str) -> bool:
 
 
 def canonical(text: str | None) -> str | None:
-    return text if text is None or text.isascii() else _scripts(_loose(text))
+    if text is None or text.isascii():
+        return text
+    for _ in range(4):  # a letter put into another script may compose with its mark
+        new = unicodedata.normalize("NFC", _scripts(_loose(text)))
+        if new == text:
+            break
+        text = new
+    return text
 
 
 #: Ranges of characters that are stable, visible and of one width (fixed values); whatever lies outside is looked at closer.

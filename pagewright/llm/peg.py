@@ -71,10 +71,16 @@ def many(kind: str, inner: Rule) -> Rule:
 def nested(kind: str, opening: str, closing: str, inside: Callable[[], Rule], most: int = 120, depth: int = 12) -> Rule:
     """opening (inside / !closing .)* closing, of at most so many characters and levels."""
     level = [0]
+    memo: list = [None, set()]  # the text, and the places in it where this rule has failed: each is tried once
 
     def rule(text: str, i: int) -> Any:
         if not text.startswith(opening, i) or level[0] >= depth:
             return None
+        if memo[0] is not text:
+            memo[0] = text
+            memo[1].clear()
+        elif i in memo[1]:
+            return None
         level[0] += 1
         try:
             at, found, end = i + len(opening), [], min(len(text), i + most)
@@ -87,6 +93,7 @@ def nested(kind: str, opening: str, closing: str, inside: Callable[[], Rule], mo
                     at = got[1]
                 else:
                     at += 1
+            memo[1].add(i)
             return None
         finally:
             level[0] -= 1

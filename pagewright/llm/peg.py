@@ -168,7 +168,18 @@ filler = choice(
 )
 word = term("word", WORD.pattern)
 other = term("other", r"[^\w\s]|_")
-item = choice(space, mark, filler, word, other)
+said = choice(filler, word, other)
+written = choice(mark, filler, word, other)
+
+
+def item(text: str, i: int) -> Any:
+    """space / mark / filler / word / other, by what the first character leaves open."""
+    if i >= len(text):
+        return None
+    c = text[i]
+    return space(text, i) if c.isspace() else written(text, i) if c in "[<({*♪0123456789" else said(text, i) if c.isalpha() else other(text, i) or word(text, i)
+
+
 _name = re.compile(r"<v[ .]\s*|>>\s*|[(\[]|\s*(?:\)\s*:|\]\s*:?|\s[-–—]\s+|:|>)$")
 body = many("body", item)
 

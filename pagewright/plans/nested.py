@@ -35,4 +35,17 @@ def p4_points(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_nodes, p4_points)}
-SQL: dict[str, str] = {}
+_ENVELOPE = "(json_exists(j, '$.original') OR json_exists(j, '$.sanitized')) AND NOT json_exists(j, '$.char_cells') AND NOT json_exists(j, '$.textline_cells') AND NOT json_exists(j, '$.shapes') AND NOT json_exists(j, '$.bitmap_resources')"
+_ITEMS = "CASE json_type(v) WHEN 'ARRAY' THEN json_extract(v, '$[*]') WHEN 'NULL' THEN [] ELSE [v] END"
+_ARRAY = "SELECT record_id, '{0}' AS path, json_extract(b, CASE WHEN env THEN '$.{1}' ELSE '$.{0}' END) AS v FROM q"
+_PART = "SELECT record_id, path || '.{0}', pos, -1 FROM e WHERE path IN ({1}) AND json_type(x) = 'OBJECT' AND coalesce(json_type(x, '$.{0}'), 'NULL') <> 'NULL'"
+SQL: dict[str, str] = {
+    "p4_found": f"WITH p AS (SELECT record_id, CAST(page_json AS JSON) AS j FROM segmented_pages WHERE json_valid(page_json)), "
+    f"q AS (SELECT record_id, {_ENVELOPE} AS env, CASE WHEN {_ENVELOPE} THEN CASE WHEN coalesce(json_type(j, '$.original'), 'NULL') <> 'NULL' THEN json_extract(j, '$.original') ELSE json_extract(j, '$.sanitized') END ELSE j END AS b FROM p), "
+    "a AS (" + " UNION ALL ".join(_ARRAY.format(*x) for x in (("char_cells", "cells"), ("textline_cells", "textline_cells"), ("shapes", "shapes"), ("bitmap_resources", "images"))) + "), "
+    f"l AS (SELECT record_id, path, {_ITEMS} AS items FROM a WHERE v IS NOT NULL), "
+    "e AS (SELECT * FROM (SELECT record_id, path, unnest(items) AS x, generate_subscripts(items, 1) - 1 AS pos FROM l) WHERE json_type(x) <> 'NULL'), "
+    "n AS (SELECT record_id, pos, json_extract(x, '$.points[*]') AS ps FROM e WHERE path = 'shapes' AND json_type(x, '$.points') = 'ARRAY') "
+    "SELECT DISTINCT record_id, path, CAST(pos AS BIGINT) AS pos, CAST(sub_pos AS BIGINT) AS sub_pos FROM ("
+    "SELECT record_id, path, pos, -1 AS sub_pos FROM e UNION ALL " + _PART.format("source", "'char_cells', 'textline_cells'") + " UNION ALL " + _PART.format("image", "'bitmap_resources'") + " UNION ALL SELECT record_id, 'shapes.points', pos, generate_subscripts(ps, 1) - 1 FROM n)",
+}

@@ -16,32 +16,23 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: Share of the page's width by which an element may grow to each side; slack of the search and of what stands between (fixed values).
-GROW, SLACK, BETWEEN = 0.15, 0.1, 1.0
+#: Share of the page's width by which an element may grow to each side, and slack of the search (fixed values).
+GROW, SLACK = 0.15, 0.1
 
 
 def _relation(box: np.ndarray) -> tuple[list[list[int]], list[list[int]]]:
     """For each element those above it and those below it, in input order."""
-    n = len(box)
     l, b, r, t = box.T  # noqa: E741
     side = (l[:, None] < r[None]) & (l[None] < r[:, None])
     higher = b[:, None] >= t[None]  # i strictly above j
     reach = (l[:, None] < (r + SLACK)[None]) & ((l - SLACK)[None] < r[:, None]) & (t[:, None] > t[None])
     edge = reach & higher & side
     np.fill_diagonal(edge, False)
-    up: list[list[int]] = [[] for _ in range(n)]
-    down: list[list[int]] = [[] for _ in range(n)]
-    for j in range(n):
-        for i in np.flatnonzero(edge[:, j]):
-            between = (side[i] | side[j]) & higher[i] & higher[:, j]
-            if between.any():
-                lo, hi = min(l[i], l[j]) - BETWEEN, max(r[i], r[j]) + BETWEEN
-                between &= (l < hi) & (lo < r) & (b < b[i]) & (t[j] < t)
-                between[[i, j]] = False
-            if not between.any():
-                up[j].append(int(i))
-                down[i].append(j)
-    return up, down
+    # what stands between i and j: below i, above j, overlapping one of them sideways
+    below = (higher & (b[None] < b[:, None])).astype(np.float32)
+    over = (higher & (t[None] < t[:, None])).astype(np.float32)
+    edge &= (below * side) @ over + below @ (over * side) == 0
+    return [np.flatnonzero(c).tolist() for c in edge.T], [np.flatnonzero(c).tolist() for c in edge]
 
 
 def _sorted(members: list[int], box: np.ndarray) -> list[int]:

@@ -108,7 +108,11 @@ class Forest:
 
 
 def overlapping_pairs(l: np.ndarray, b: np.ndarray, r: np.ndarray, t: np.ndarray) -> Iterator[tuple[int, int]]:  # noqa: E741
-    """Pairs of positions i < j of overlapping boxes, by a sweep over l."""
+    """Pairs of positions i < j of overlapping boxes: of a few at once, of many by a sweep over l."""
+    if len(l) <= 512:
+        meet = (l[:, None] < r[None]) & (l[None] < r[:, None]) & (b[:, None] < t[None]) & (b[None] < t[:, None])
+        yield from zip(*(x.tolist() for x in np.nonzero(np.triu(meet, 1))))
+        return
     order = np.argsort(l, kind="stable")
     left = l[order]
     for at, i in enumerate(order):

@@ -8,7 +8,7 @@ in the JVM by the same layout as all other sources. Standard library only; exter
 from __future__ import annotations
 
 import email
-import email.policy
+import email.header
 import html
 import io
 import re
@@ -224,28 +224,37 @@ def epub_pages(data: bytes) -> list[list[Line]]:
 
 def eml_pages(data: bytes) -> list[list[Line]]:
     """Four header lines, then the HTML body's elements, or the text body's lines."""
-    m = email.message_from_bytes(data, policy=email.policy.default)
-
-    def header(name: str) -> str:
-        try:
-            return str(m[name] or "")
-        except Exception:  # noqa: BLE001  a header that the parser refuses
-            return ""
-
-    lines: list[Line] = [(f"{n}: {header(n)}", HEADING if n == "Subject" else BODY) for n in ("Subject", "From", "To", "Date")]
-    part = m.get_body(("html",))
-    if part is not None:
-        return [lines + [(text, HEADING if tag.startswith("h") else BODY) for tag, text in html_elements(_content(part))]]
-    part = m.get_body(("plain",))
-    text = _content(part) if part is not None else ""
+    m = email.message_from_bytes(data)
+    lines: list[Line] = [(f"{n}: {_header(m.get(n))}", HEADING if n == "Subject" else BODY) for n in ("Subject", "From", "To", "Date")]
+    parts: dict[str, Any] = {}
+    for p in m.walk():
+        if not p.is_multipart() and p.get_content_disposition() != "attachment":
+            parts.setdefault(p.get_content_type(), p)
+    if "text/html" in parts:
+        return [lines + [(text, HEADING if tag.startswith("h") else BODY) for tag, text in html_elements(_content(parts["text/html"]))]]
+    text = _content(parts["text/plain"]) if "text/plain" in parts else ""
     return [lines + [(strip(x), BODY) for x in re.split(r"[\r\n]", text) if strip(x)]]
 
 
+def _header(raw: Any) -> str:
+    """A header's value unfolded, its encoded words read."""
+    if raw is None:
+        return ""
+    s = re.sub(r"\r?\n[ \t]+", " ", str(raw))
+    if "=?" not in s:
+        return s
+    try:
+        return str(email.header.make_header(email.header.decode_header(s)))
+    except (LookupError, UnicodeDecodeError, ValueError):
+        return s
+
+
 def _content(part: Any) -> str:
+    payload = part.get_payload(decode=True) or b""
     try:
-        return part.get_content()
-    except (LookupError, UnicodeDecodeError, KeyError):
-        return (part.get_payload(decode=True) or b"").decode("utf-8", "replace")
+        return payload.decode(part.get_content_charset() or "utf-8", "replace")
+    except LookupError:
+        return payload.decode("utf-8", "replace")
 
 
 def image_size(data: bytes) -> tuple[int, int]:

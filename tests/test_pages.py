@@ -197,3 +197,27 @@ def test_nodes(spark):
     assert [r[:2] for r in page_nodes(deep, values=False)] == [("shapes", 0)]
     df = spark.createDataFrame([(1, text, 5), (None, text, 5), (2, None, 5), (3, "no", 5)], "record_id long, page_json string, path int")
     assert node_tables(df).count() == 14 and node_tables(df.limit(0)).count() == 0
+
+
+def test_relation_against_every_triple():
+    from pagewright.operators.reading_order import _relation
+
+    def plain(box):
+        n = len(box)
+        up, down = [[] for _ in range(n)], [[] for _ in range(n)]
+        side = lambda a, c: a[0] < c[2] and c[0] < a[2]
+        for j in range(n):
+            for i in range(n):
+                a, c = box[i], box[j]
+                if i == j or not side(a, c) or a[1] < c[3] or a[3] <= c[3]:
+                    continue
+                if not any((side(a, w) or side(c, w)) and a[1] >= w[3] and w[1] >= c[3] and w[1] < a[1] and w[3] > c[3] for k, w in enumerate(box) if k not in (i, j)):
+                    up[j].append(i)
+                    down[i].append(j)
+        return up, down
+
+    r = np.random.default_rng(1)
+    for _ in range(200):
+        low = r.integers(0, 20, (r.integers(1, 14), 2))
+        box = np.hstack([low, low + np.stack([r.integers(0, 8, len(low)), r.integers(0, 4, len(low))], 1)]).astype(float)
+        assert _relation(box) == plain(box)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import SPACE, document_key, extension, slug
-from pagewright.session import table
+from pagewright.session import spread, table
 from pagewright.sinks import export
 from pagewright.sources import plain
 from pagewright.sources.convert import convert, read_segmented
@@ -31,7 +31,7 @@ def _cells_sql(lines: str, text: str = "line", font: str = "'BodyFont'") -> str:
 
 
 def _cells(spark: SparkSession, sf: str, lines: Column) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", lay_out(lines).alias("cells"))
+    d = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", lay_out(lines).alias("cells"))
     c = d.select("doc_id", F.explode("cells").alias("c"))
     return c.select("doc_id", F.col("c.index").alias("pos"), F.col("c.text").alias("text"), F.col("c.font_name").alias("font"), F.col("c.rect.r_y0").alias("b"), F.col("c.rect.r_y2").alias("t"))
 
@@ -64,7 +64,7 @@ def src_xml_cells(spark: SparkSession, sf: str) -> DataFrame:
 
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
     page = page_struct(lay_out(plain.markdown_lines(F.translate("text", ">", "#"))))
-    return table(spark, sf, "documents").where("text is not null").select("doc_id", F.lit(1).alias("page_no"), page.alias("page"))
+    return spread(table(spark, sf, "documents").where("text is not null").select("doc_id", "text")).select("doc_id", F.lit(1).alias("page_no"), page.alias("page"))
 
 
 def _export(form: str):
@@ -141,7 +141,7 @@ def src_html_cells(spark: SparkSession, sf: str) -> DataFrame:
 
 def src_mail_pages(spark: SparkSession, sf: str) -> DataFrame:
     """The documents as .eml files: one page each, by number of cells and the first lines."""
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("doc_key"), F.lit("a.eml").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    d = spread(table(spark, sf, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("doc_key"), F.lit("a.eml").alias("path"), F.encode("text", "UTF-8").alias("content"))
     cells = F.col("page.textline_cells")
     return convert(d).select("doc_key", "page_no", F.size(cells).alias("cells"), F.get(cells, F.lit(0))["text"].alias("first"), F.get(cells, F.lit(4))["rect"]["r_y2"].alias("body_top"), "error")
 

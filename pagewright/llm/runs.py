@@ -1,8 +1,13 @@
 """Repeated consecutive segments collapsed into one row per run.
 
 Two neighbours say the same if their words are equal after the transcript grammar has taken off speaker names,
-hesitation, time marks and sound notes, or differ only by slips: one or two letters in a word that the corpus holds
-far more rarely than the word it stands for. Without words, the same sound notes are the same. Numbers must be equal.
+hesitation, time marks and sound notes, or differ only by slips. Without words, the same sound notes are the same.
+Numbers must be equal.
+
+Two words up to two edits apart are a slip and its word if the rarer hardly stands anywhere but beside the other: the
+segments that hold it elsewhere are at most RARE_SHARE of those that hold the other, whatever the size of the corpus.
+Two words up to four edits apart are two slips of one word of the corpus, from which each is one letter dropped, added,
+changed or swapped apart, if both hardly stand anywhere but beside such words.
 
 Defined results: null, blank and merely hesitant segments are never in a run and end one. Segments with null
 audio_key, start_time or segment_id are left out; a segment that stands in the table again counts once. Equal start
@@ -18,7 +23,7 @@ from pagewright.llm.sequences import collapse_runs, previous_in_sequence
 from pagewright.llm.transcripts import read_segments
 from pagewright.session import cut_lineage
 
-#: A slip's word is at most this share as frequent as the word it stands for.
+#: The segments that hold a slip away from the word it stands for are at most this share of those that hold the word.
 RARE_SHARE = 0.1
 
 
@@ -32,6 +37,32 @@ def _slip(p: Column) -> Column:
     return ~digit & (F.least(F.length(p["x"]), F.length(p["y"])) >= 3) & (F.levenshtein(p["x"], p["y"]) <= 4)
 
 
+def _variants(w: str) -> Column:
+    """The word, and the word without each of its letters: words one letter dropped, added, changed or swapped apart share one."""
+    c = F.col(w)
+    return F.array_distinct(F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))))
+
+
+def _slips(asked: DataFrame, counts: DataFrame) -> DataFrame:
+    """a, b: the asked pairs that are a slip and its word, or two slips of one word.
+
+    asked: audio_key, a, b, at_a, at_b, the words of a pair and the segments they stand in; counts: w, n."""
+    beside = asked.groupBy("a", "b").agg(F.count_distinct("audio_key", "at_a").alias("ca"), F.count_distinct("audio_key", "at_b").alias("cb"))
+    pairs = beside.join(counts.select(F.col("w").alias("a"), F.col("n").alias("na")), "a").join(counts.select(F.col("w").alias("b"), F.col("n").alias("nb")), "b")
+    rare = ((F.col("na") <= F.col("nb")) & (F.col("na") - F.col("ca") <= F.col("nb") * RARE_SHARE)) | ((F.col("nb") <= F.col("na")) & (F.col("nb") - F.col("cb") <= F.col("na") * RARE_SHARE))
+    pairs = cut_lineage(pairs.select("a", "b", ((F.levenshtein("a", "b") <= 2) & rare).alias("one")))
+    # what isn't a slip beside its word may be two slips of one
+    rest = pairs.where(~F.col("one")).select("a", "b")
+    stands = asked.select("audio_key", F.explode(F.array(F.struct(F.col("a").alias("w"), F.col("at_a").alias("at")), F.struct(F.col("b").alias("w"), F.col("at_b").alias("at")))).alias("s")).select("audio_key", "s.*")
+    free = counts.join(stands.groupBy("w").agg(F.count_distinct("audio_key", "at").alias("c")), "w").select("w", (F.col("n") - F.col("c")).alias("free"))
+    words = rest.select(F.explode(F.array("a", "b")).alias("w")).distinct()
+    lengths = words.select(F.explode(F.array(*[F.length("w") + i for i in (-1, 0, 1)])).alias("length")).distinct()
+    known = counts.withColumn("length", F.length("w")).join(lengths, "length", "left_semi").select(F.col("w").alias("word"), "n", F.explode(_variants("w")).alias("v"))
+    near = words.join(free, "w").withColumn("v", F.explode(_variants("w"))).join(known, "v").where("w <> word").where(F.col("free") <= F.col("n") * RARE_SHARE).select("w", "word").distinct()
+    two = rest.join(near.withColumnRenamed("w", "a"), "a").join(near.withColumnRenamed("w", "b"), ["b", "word"]).select("a", "b")
+    return pairs.where("one").select("a", "b").unionByName(two).distinct()
+
+
 def repeated_runs(df: DataFrame, least: int = 2) -> DataFrame:
     """audio_key, first_segment_id, last_segment_id, text, count, start_time, end_time, duration of runs of at least so many segments."""
     said = read_segments(df)
@@ -39,7 +70,8 @@ def repeated_runs(df: DataFrame, least: int = 2) -> DataFrame:
     sig = F.when(words, F.col("words")).when(notes, F.concat(F.array(F.lit("♪")), "notes"))
     label = F.when(words, F.col("said")).otherwise(F.array_join("notes", ", "))
     said = said.select("audio_key", "segment_id", "start_time", "end_time", "chunk", label.alias("said"), sig.alias("sig"))
-    seen = previous_in_sequence(said, "audio_key", ["start_time", "segment_id"], "sig", 2)
+    seen = previous_in_sequence(said.withColumn("own", F.struct("sig", "segment_id")), "audio_key", ["start_time", "segment_id"], "own", 2)
+    seen = seen.withColumns({f"{n}_{i}": F.col(f"own_{i}")[c] for i in (1, 2) for n, c in (("sig", "sig"), ("id", "segment_id"))}).drop("own", "own_1", "own_2")
 
     def near(a: str, b: str) -> Column:
         """Differences that may be slips; null where the texts can't be the same."""
@@ -50,14 +82,18 @@ def repeated_runs(df: DataFrame, least: int = 2) -> DataFrame:
 
     near_ = {"d1": near("sig", "sig_1"), "d2": near("sig", "sig_2"), "d12": near("sig_1", "sig_2")}
     seen = cut_lineage(seen.withColumns(near_).drop("sig_1", "sig_2", "has_1", "has_2"))
-    # the words of all segments tell which differences are slips
-    counts = seen.where(F.col("sig")[0] != "♪").select(F.explode("sig").alias("w")).groupBy("w").count()
-    every = F.flatten(F.array_compact(F.array("d1", "d2", "d12")))
-    asked = seen.select("audio_key", "segment_id", F.explode(F.array_distinct(every)).alias("p")).select("audio_key", "segment_id", "p", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
-    x, y = counts.select(F.col("w").alias("x"), F.col("count").alias("nx")), counts.select(F.col("w").alias("y"), F.col("count").alias("ny"))
-    lo, hi = F.least("nx", "ny"), F.greatest("nx", "ny")
-    fine = ((F.levenshtein("x", "y") <= 2) & ((lo <= hi * RARE_SHARE) | (hi <= 5))) | ((hi <= 5) & (F.length("x") >= 5))
-    slips = asked.join(x, "x").join(y, "y").where(fine).groupBy("audio_key", "segment_id").agg(F.collect_set("p").alias("slips"))
+    # the segments of all words tell which differences are slips
+    counts = cut_lineage(seen.where(F.col("sig")[0] != "♪").select(F.explode(F.array_distinct("sig")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")))
+
+    def placed(d: str, at_x: str, at_y: str) -> Column:
+        """The differences in one order of their words, with the segments these stand in."""
+        x, y = F.col(at_x), F.col(at_y)
+        return F.transform(d, lambda p: F.struct(p.alias("p"), F.least(p["x"], p["y"]).alias("a"), F.greatest(p["x"], p["y"]).alias("b"), F.when(p["x"] < p["y"], x).otherwise(y).alias("at_a"), F.when(p["x"] < p["y"], y).otherwise(x).alias("at_b")))
+
+    over = F.when(F.col("d2").isNotNull() & F.col("d12").isNotNull(), F.concat(placed("d2", "segment_id", "id_2"), placed("d12", "id_1", "id_2")))
+    every = F.flatten(F.array_compact(F.array(placed("d1", "segment_id", "id_1"), over)))
+    asked = cut_lineage(seen.select("audio_key", "segment_id", F.explode(every).alias("q")).select("audio_key", "segment_id", "q.*"))
+    slips = asked.join(_slips(asked, counts), ["a", "b"]).groupBy("audio_key", "segment_id").agg(F.collect_set("p").alias("slips"))
     flags = seen.where("sig is not null").join(slips, ["audio_key", "segment_id"], "left")
     known = F.coalesce("slips", F.array().cast(seen.schema["d1"].dataType))
     same = {n: F.coalesce(F.size(F.array_except(F.col(n), known)) == 0, F.lit(False)) for n in near_}

@@ -99,6 +99,19 @@ def test_runs(spark):
     assert runs(spark, texts + filler) == [(0, 4, 5), (12, 14, 3)]
 
 
+def test_slips_at_any_frequency(spark):
+    """One slip beside its word, which 1 to 1000 segments hold; words that also stand elsewhere, or are too far apart, are others."""
+    words = {"granite": 1, "lantern": 5, "compass": 6, "cuelgue": 9, "violine": 10, "meadows": 1000}
+    texts, expected = [], []
+    for w, n in words.items():
+        expected.append((len(texts), len(texts) + 1, 2))
+        texts += [f"hold the {w}", f"hold the {w[:2]}{w[3]}{w[2]}{w[4:]}"] + [f"{w} {x}" for x in range(n - 1)]
+    expected.append((len(texts), len(texts) + 1, 2))
+    texts += ["see maedows now", "see meadosw now"]
+    texts += ["near camión", "near cañón", *[x for i in range(6) for x in (f"{i} camión up", f"{i} down cañón here")], "ask señal", "ask sesión", "end"]
+    assert runs(spark, texts) == expected
+
+
 def test_runs_cross_chunks(spark):
     assert runs(spark, ["a b c"] * 7 + ["d"] + ["a b c"] * 2, gap=800.0) == [(0, 6, 7), (8, 9, 2)]
 

@@ -215,12 +215,14 @@ def _rules(e: Column, a: Column, o: Options) -> list[Column]:
 
 
 @quick_building()
-def compare(expected: DataFrame, actual: DataFrame, on: list[str], options: Options = Options()) -> DataFrame:
-    """on, severity, code, message: the differences of the pages both sets hold."""
-    e, a = signatures(expected, on, options=options).withColumnRenamed("sig", "e"), signatures(actual, on, options=options).withColumnRenamed("sig", "a")
+def compare(expected: DataFrame, actual: DataFrame, on: list[str], options: Options = Options(), by: list[str] | None = None) -> DataFrame:
+    """on, by, severity, code, message: the differences of the pages both sets hold.
+    by: columns of actual that tell several copies of a page apart; each is held against the one expected page."""
+    by = by or []
+    e, a = signatures(expected, on, options=options).withColumnRenamed("sig", "e"), signatures(actual, [*on, *by], options=options).withColumnRenamed("sig", "a")
     both = e.join(a, on)
     found = F.filter(F.flatten(F.array(*_rules(F.col("e"), F.col("a"), options))), lambda d: d.isNotNull())
-    return both.select(*on, F.explode(found).alias("d")).select(*on, "d.severity", "d.code", "d.message")
+    return both.select(*on, *by, F.explode(found).alias("d")).select(*on, *by, "d.severity", "d.code", "d.message")
 
 
 def check_pages(expected: DataFrame, documents: DataFrame, doc: str = "doc_key", page: str = "page_no", pages: str = "page_count", failed: str | None = None) -> DataFrame:

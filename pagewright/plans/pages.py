@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagewright.functions import geometry as g
 from pagewright.functions.text import SPACE, is_blank, multiset_hash, sequence_hash, slug, string_key
 from pagewright.operators import layout, parity, pipeline, reading_order, spatial
-from pagewright.session import table
+from pagewright.session import broadcast_if_small, cut_lineage, table
 from pagewright.sources.audio import hydrate, transcript_line
 
 PAGE = ["doc_key", "page_no"]
@@ -223,26 +223,52 @@ def transcript_cells(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("audio_key", F.col("c.index").alias("pos"), F.col("c.text").alias("text"), F.col("c.source.start_time").alias("start_time"), F.col("c.source.end_time").alias("end_time"), F.col("c.source.voice").alias("voice"))
 
 
-def _twins(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Pages that stand in the table under several record_ids: the first, and the last."""
-    p = table(spark, sf, "segmented_pages")
-    ends = p.groupBy(*PAGE).agg(F.min_by("page_json", "record_id").alias("first"), F.max_by("page_json", "record_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return ends.select(*PAGE, F.col("first").alias("page_json")), ends.select(*PAGE, F.col("last").alias("page_json"))
+def _copies(spark: SparkSession, sf: str) -> DataFrame:
+    """The differences of every later record of a page from its first; a redelivered record counts once."""
+    p = table(spark, sf, "segmented_pages").select(*PAGE, "record_id", "page_json").where("doc_key is not null and page_no is not null")
+    p = p.withColumn("place", F.struct(F.col("record_id").isNull().alias("unnumbered"), F.col("record_id").alias("id"), F.xxhash64("page_json").alias("hash")))
+    several = cut_lineage(p.groupBy(*PAGE).agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last").select(*PAGE, "first"))
+    p = p.join(broadcast_if_small(several, 100_000), PAGE)
+    later = p.where("place <> first").dropDuplicates([*PAGE, "place"])
+    return parity.compare(p.where("place = first").dropDuplicates(PAGE), later, PAGE, by=["record_id"])
 
 
 @_query()
 def parity_diffs(spark: SparkSession, sf: str) -> DataFrame:
-    return parity.compare(*_twins(spark, sf), PAGE)
+    return _copies(spark, sf)
 
 
 @_query()
 def parity_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    return parity.rollup(parity.compare(*_twins(spark, sf), PAGE))
+    return parity.rollup(_copies(spark, sf))
 
 
 @_query()
 def parity_gate(spark: SparkSession, sf: str) -> DataFrame:
-    return parity.gate(parity.compare(*_twins(spark, sf), PAGE))
+    return parity.gate(_copies(spark, sf))
+
+
+#: What is done to a page's JSON: a pattern and what takes its place.
+_CHANGES = {
+    "text": (r'(?<k>"text"\s*:\s*")', "${k}~"),
+    "ocr": (r'(?<k>"from_ocr"\s*:\s*)false', "${k}true"),
+    "geometry": (r'(?<k>"r_x1"\s*:\s*-?)(?=\d)', "${k}1"),
+    "key": (r'"shapes"\s*:', '"shapes_":'),
+}
+
+
+@_query()
+def parity_perturbed(spark: SparkSession, sf: str) -> DataFrame:
+    """The differences of all records from a copy in which each, by its hash, stays the same, is changed in one way or lost."""
+    p = table(spark, sf, "segmented_pages").select(*PAGE, "record_id", "page_json")
+    p = p.withColumn("row", F.xxhash64(*PAGE, "record_id", "page_json")).dropDuplicates(["row"])
+    kinds = ["same", *_CHANGES, "lost"]
+    change = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.pmod("row", F.lit(len(kinds))) + 1).cast("int"))
+    json = F.when(F.col("change") == "same", F.col("page_json"))
+    for k, (pattern, new) in _CHANGES.items():
+        json = json.when(F.col("change") == k, F.regexp_replace("page_json", pattern, new))
+    other = p.withColumn("change", change).withColumn("page_json", json)
+    return parity.compare(p, other, ["row"], by=[*PAGE, "record_id", "change"]).drop("row")
 
 
 @_query("WITH d AS (SELECT doc_key, max(page_count) AS page_count FROM runs GROUP BY 1), e AS (SELECT DISTINCT doc_key, page_no FROM textline_cells) SELECT doc_key, page_no, 'critical' AS severity, CASE WHEN page_count IS NULL THEN 'regression_pdf_missing' ELSE 'page_number_out_of_range' END AS code FROM e LEFT JOIN d USING (doc_key) WHERE page_count IS NULL OR page_no <= 0 OR page_no > page_count")

@@ -3,6 +3,7 @@ import json
 
 import pytest
 from pagewright.operators.parity import Options, compare, discover, gate, rollup
+from pagewright.plans import pages
 
 RECT = {f"r_{a}{i}": float(v) for a, vs in (("x", (0, 1, 1, 0)), ("y", (0, 0, 1, 1))) for i, v in enumerate(vs)} | {"coord_origin": "BOTTOMLEFT"}
 RGBA = {"r": 0, "g": 0, "b": 0, "a": 255}
@@ -93,3 +94,25 @@ def test_severity_can_be_set(spark):
 def test_discover(spark):
     files = spark.createDataFrame([("x/b.pdf.page_no_2.py.json",), ("x/b.PDF.page_no_1.py.json",), ("x/a.pdf.page_no_10.py.json",), ("x/a.pdf.page_no_9.py.json",), ("x/note.txt",)], "path string")
     assert [(r["doc"], r["page_no"]) for r in discover(files, documents=1).collect()] == [("a.pdf", 9), ("a.pdf", 10)]
+
+
+def test_every_copy_of_a_page_is_compared(spark, tmp_path):
+    p = copy.deepcopy(BASE)
+    CHANGES["text"][0](p)
+    same, other = json.dumps(BASE), json.dumps(p)
+    rows = [(1, "a", 1, same), (2, "a", 1, other), (2, "a", 1, other), (3, "a", 1, same), (None, "a", 1, other), (4, "b", 1, same), (4, "b", 1, same), (5, None, 1, other)]
+    spark.createDataFrame(rows, "record_id long, doc_key string, page_no int, page_json string").write.parquet(str(tmp_path / "segmented_pages.parquet"))
+    got = pages.parity_diffs(spark, str(tmp_path)).where("code = 'text_hash_mismatch'").collect()
+    assert sorted(((r["doc_key"], r["record_id"]) for r in got), key=str) == [("a", 2), ("a", None)]
+    assert not pages.parity_gate(spark, str(tmp_path)).first()["passed"]
+
+
+def test_perturbed_copy_of_all_records(spark, tmp_path):
+    rows = [(i, None if i % 7 == 0 else f"d{i}", 1, json.dumps(BASE)) for i in range(60)]
+    spark.createDataFrame(rows, "record_id long, doc_key string, page_no int, page_json string").write.parquet(str(tmp_path / "segmented_pages.parquet"))
+    got = {}
+    for r in pages.parity_perturbed(spark, str(tmp_path)).collect():
+        got.setdefault((r["change"], r["record_id"]), set()).add(r["code"])
+    codes = {"text": "text_hash_mismatch", "ocr": "ocr_from_ocr_count_mismatch", "geometry": "geometry_signature_mismatch", "key": "missing_expected_top_level_key", "lost": "missing_required_top_level_key"}
+    assert {k for k, _ in got} == set(codes) and all(codes[k] in c for (k, _), c in got.items())
+    assert 40 <= len(got) < 60

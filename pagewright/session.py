@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -20,11 +22,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the shared folder that the cluster names; a temporary one only where none is named and the master is local."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that the cluster names; a temporary one only where none is named and the master is local."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
+        return sc._jsc.sc().getCheckpointDir().get()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         sc.setCheckpointDir(named)
@@ -32,17 +34,47 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     else:
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+#: Folders of the tables that this process has written, with their sessions.
+_WRITTEN: list[tuple[str, SparkSession]] = []
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialises df reliably, so that several consumers read it instead of computing it again."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialises df as a table in the shared checkpoint folder, so that several consumers read the columns they need
+    of it instead of computing it again, and the loss of an executor costs nothing. forget() removes it."""
+    spark = df.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    _WRITTEN.append((folder, spark))
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def forget() -> None:
+    """Removes the tables that cut_lineage has written; for when no DataFrame made from them is needed any more.
+    Runs by itself when the process ends."""
+    while _WRITTEN:
+        folder, spark = _WRITTEN.pop()
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        except Exception:  # noqa: BLE001  the session has ended: its folder is the cluster's to clean
+            continue
+
+
+atexit.register(forget)
+
+
+#: Bytes that a broadcast may take.
+MAX_BROADCAST_BYTES = 64 << 20
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hints a broadcast only when a count proves at most max_rows; the join shuffles otherwise."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def broadcast_if_small(df: DataFrame, max_rows: int, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Hints a broadcast only where a scan proves at most max_rows rows and max_bytes bytes; the join shuffles otherwise."""
+    width = F.octet_length(F.to_json(F.struct("*"))) + 16 * len(df.columns)
+    rows, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(width)).first()
+    return F.broadcast(df) if rows <= max_rows and (size or 0) <= max_bytes else df
 
 
 @contextmanager

@@ -6,14 +6,18 @@
     Stamp    <- '[' Clock ']' / '<' Clock '>' / '(' Clock ')' / LongClock '-->'?
     Label    <- '<v' Name '>' / '>>' Name ':' / '[' Name ']' ':'? / '(' Name '):' / Name ' -' / Name ':'
     Note     <- '((' (Note / !'))' .)* '))' / '[' (Note / !']' .)* ']' / '{' (Note / !'}' .)* '}'
-              / '<' (Note / !'>' .)* '>' / '*' (!'*' .)+ '*' / '♪' (!'♪' .)* '♪' / '(' SoundWords ')'
-    Item     <- Mark / Filler / Word / .
+              / '<' (Note / !'>' .)* '>' / '*' (!'*' .)+ '*' / '♪' (!'♪' .)* '♪' / '(' SoundWords ')' / &Apart '(' (![().] .)+ ')'
+    Item     <- Mark / Filler / Speech / .
+    Speech   <- (!Mark !Filler .)+
 
+Apart is a place before the first word or after the end of a sentence: there, whatever stands in round brackets is a note.
 Expressions take (text, position) and return (node, position) or None. A node is (kind, start, end, children).
+Nested notes of any length and depth are found for all places of a text at once, from right to left, in linear time.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Callable
 from typing import Any
@@ -32,20 +36,6 @@ def term(kind: str, pattern: str, flags: int = 0) -> Rule:
     return rule
 
 
-def seq(kind: str, *rules: Rule) -> Rule:
-    def rule(text: str, i: int) -> Any:
-        at, found = i, []
-        for r in rules:
-            got = r(text, at)
-            if got is None:
-                return None
-            found.append(got[0])
-            at = got[1]
-        return (kind, i, at, tuple(found)), at
-
-    return rule
-
-
 def choice(*rules: Rule) -> Rule:
     def rule(text: str, i: int) -> Any:
         for r in rules:
@@ -57,48 +47,61 @@ def choice(*rules: Rule) -> Rule:
     return rule
 
 
-def many(kind: str, inner: Rule) -> Rule:
-    def rule(text: str, i: int) -> Any:
-        at, found = i, []
-        while (got := inner(text, at)) is not None and got[1] > at:
-            found.append(got[0])
-            at = got[1]
-        return (kind, i, at, tuple(found)), at
-
-    return rule
-
-
-def nested(kind: str, opening: str, closing: str, inside: Callable[[], Rule], most: int = 120, depth: int = 12) -> Rule:
-    """opening (inside / !closing .)* closing, of at most so many characters and levels."""
-    level = [0]
-    memo: list = [None, set()]  # the text, and the places in it where this rule has failed: each is tried once
-
-    def rule(text: str, i: int) -> Any:
-        if not text.startswith(opening, i) or level[0] >= depth:
-            return None
-        if memo[0] is not text:
-            memo[0] = text
-            memo[1].clear()
-        elif i in memo[1]:
-            return None
-        level[0] += 1
-        try:
-            at, found, end = i + len(opening), [], min(len(text), i + most)
-            while at < end:
-                if text.startswith(closing, at):
-                    return (kind, i, at + len(closing), tuple(found)), at + len(closing)
-                got = inside()(text, at) if text[at] in "([{<*♪" else None
-                if got is not None:
-                    found.append(got[0])
-                    at = got[1]
-                else:
-                    at += 1
-            memo[1].add(i)
-            return None
-        finally:
-            level[0] -= 1
-
-    return rule
+_BRACKET = re.compile(r"[\[\](){}<>*♪]")
+_CLOSING = (("((", "))"), ("[", "]"), ("{", "}"), ("<", ">"))
+
+
+def _notes_of(text: str) -> dict[int, Node]:
+    """By place, the note that starts there. A note is tried at every mark from right to left; what follows a place is
+    known by then, so each rule looks one step ahead: for each kind of bracket, where a note that is open here would end."""
+    places = [m.start() for m in _BRACKET.finditer(text)]
+    notes: dict[int, Node] = {}
+    n, head = len(places), _HEAD(text).end()
+    ends = [[-1] * (n + 1) for _ in _CLOSING]  # the end of a note of this kind that is open just before the i-th mark
+    nexts = [n] * (n + 1)  # the mark from which reading goes on behind the i-th: the next, or the first behind its note
+    for i in range(n - 1, -1, -1):
+        at = places[i]
+        end = -1
+        for (opening, _), own in zip(_CLOSING, ends):
+            if text.startswith(opening, at):
+                j = i + len(opening)
+                if j <= n and own[j] >= 0:
+                    end = own[j]
+                    break
+        if end < 0:
+            c = text[at]
+            if c == "*":
+                m = _STARS(text, at)
+                end = m.end() if m else -1
+            elif c == "♪":
+                end = _MUSIC(text, at).end()
+            elif c == "(":
+                m = _ROUND(text, at)
+                if m and (is_sound([w.casefold() for w in WORD.findall(m.group(1))]) or (_ASIDE(m.group(1)) and _apart(text, at, head))):
+                    end = m.end()
+        nexts[i] = i + 1
+        if end >= 0:
+            children, j = [], i + 1
+            while j < n and places[j] < end:
+                inner = notes.get(places[j])
+                if inner is not None and inner[2] <= end:
+                    children.append(inner)
+                j = nexts[j]
+            notes[at] = ("note", at, end, tuple(children))
+            nexts[i] = bisect.bisect_left(places, end, i + 1)
+        for (_, closing), own in zip(_CLOSING, ends):
+            own[i] = at + len(closing) if text.startswith(closing, at) else own[nexts[i]]
+    return notes
+
+
+_memo: list = [None, {}]
+
+
+def note(text: str, i: int) -> Any:
+    if _memo[0] is not text:
+        _memo[0], _memo[1] = text, _notes_of(text)
+    got = _memo[1].get(i)
+    return (got, got[2]) if got is not None else None
 
 
 #: Sounds that transcribers note, in the languages of the recordings: the words that make a round bracket a note.
@@ -116,7 +119,7 @@ _SMALL = frozenset("and in the of a on de la le les y en el und im der die das e
 
 
 def is_sound(words: list[str]) -> bool:
-    return 0 < len(words) <= 4 and any(w in SOUND_WORDS for w in words) and all(w in SOUND_WORDS or w in _SMALL for w in words)
+    return any(w in SOUND_WORDS for w in words) and all(w in SOUND_WORDS or w in _SMALL for w in words)
 
 
 #: Hesitation: alone, or only where a comma, dots or an end set it off, as other languages have them as words.
@@ -136,24 +139,26 @@ stamp = choice(
 )
 
 
-def _round(text: str, i: int) -> Any:
-    m = _ROUND(text, i)
-    return (("note", i, m.end(), ()), m.end()) if m and is_sound([w.casefold() for w in WORD.findall(m.group(1))]) else None
+_ROUND = re.compile(r"\(([^()]+)\)").match
+_STARS = re.compile(r"\*[^*\n]+\*").match
+_MUSIC = re.compile(r"♪[^♪]*♪|♪+").match
+#: What may stand before the first word.
+_HEAD = re.compile(r"(?:[^\W\d_][\w.'’\- ]*:(?=\s))?(?:\s+|\[[^\[\]]*\]|<[^<>]*>|\{[^{}]*\}|\([^()]*\)|\*[^*\n]*\*|♪|>>+|-->|\d+(?::\d+)+(?:[.,]\d+)?)*").match
+_ASIDE = re.compile(r"[^\W\d][^\d.!?…:]*$").match
+
+
+def _apart(text: str, at: int, head: int) -> bool:
+    """Whether a place is before the first word or after the end of a sentence."""
+    if at < head:
+        return True
+    while at and text[at - 1].isspace():
+        at -= 1
+    return at == 0 or text[at - 1] in "!?" or (text[at - 1] == "." and text[at - 2 : at - 1] != ".")
 
 
-_ROUND = re.compile(r"\(([^()]{1,60})\)").match
-note = choice(
-    nested("note", "((", "))", lambda: note),
-    nested("note", "[", "]", lambda: note),
-    nested("note", "{", "}", lambda: note),
-    nested("note", "<", ">", lambda: note),
-    term("note", r"\*[^*\n]{1,60}\*"),
-    term("note", r"♪[^♪]{0,120}♪|♪+"),
-    _round,
-)
 mark = choice(stamp, note)
 label = choice(
-    term("sure", rf"<v[ .]\s*(?P<n>[^<>]{{1,60}})>"),
+    term("sure", r"<v[ .]\s*(?P<n>[^<>]+)>"),
     term("sure", rf">>\s*(?P<n>{_NAME}?)\s*:(?!\d)"),
     term("round", rf"\((?P<n>{_NAME})\)\s*:"),
     term("square", rf"\[(?P<n>{_NAME})\]\s*:?"),
@@ -162,26 +167,34 @@ label = choice(
 )
 arrow = term("arrow", r">>+|-->")
 space = term("space", r"\s+")
-filler = choice(
-    term("filler", rf"(?<!\w)(?:{_FREE})(?!\w)(?:\s*(?:\.{{2,}}|…|,))?", re.I),
-    term("filler", rf"(?<!\w)(?:{_SET_OFF})(?!\w)\s*(?:\.{{2,}}|…|,|(?=[.!?]?\s*$))", re.I),
-)
-word = term("word", WORD.pattern)
-other = term("other", r"[^\w\s]|_")
-said = choice(filler, word, other)
-written = choice(mark, filler, word, other)
-
-
-def item(text: str, i: int) -> Any:
-    """space / mark / filler / word / other, by what the first character leaves open."""
-    if i >= len(text):
-        return None
-    c = text[i]
-    return space(text, i) if c.isspace() else written(text, i) if c in "[<({*♪0123456789" else said(text, i) if c.isalpha() else other(text, i) or word(text, i)
+_FILLER = rf"(?<!\w)(?<!\w['’])(?i:(?=[aehimuäöby])(?:(?:{_FREE})(?!\w)(?:\s*(?:\.{{2,}}|…|,))?|(?:{_SET_OFF})(?!\w)\s*(?:\.{{2,}}|…|,|(?=[.!?]?\s*$))))"
+#: where speech may end: at what may start a mark, or at hesitation
+_STOP = re.compile(rf"[\[<({{*♪]|(?<![^\W_])\d{{1,2}}:\d|(?P<filler>{_FILLER})").search
+
+
+def body(text: str, at: int) -> tuple[Node, int]:
+    """Item*, each the first of mark / filler / speech / other."""
+    found: list[Node] = []
+    start, said = at, at
+    while (m := _STOP(text, at)) is not None:
+        i = m.start()
+        if m.lastgroup is not None:
+            got: Any = (("filler", i, m.end(), ()), m.end())
+        else:
+            got = stamp(text, i) if text[i].isdigit() else mark(text, i)
+        if got is None:
+            at = i + 1
+            continue
+        if i > said:
+            found.append(("speech", said, i, ()))
+        found.append(got[0])
+        at = said = got[1]
+    if len(text) > said:
+        found.append(("speech", said, len(text), ()))
+    return ("body", start, len(text), tuple(found)), len(text)
 
 
 _name = re.compile(r"<v[ .]\s*|>>\s*|[(\[]|\s*(?:\)\s*:|\]\s*:?|\s[-–—]\s+|:|>)$")
-body = many("body", item)
 
 
 def parse(text: str) -> tuple[list[Node], tuple[Node, str] | None, int]:
@@ -197,7 +210,7 @@ def parse(text: str) -> tuple[list[Node], tuple[Node, str] | None, int]:
             if got is not None:
                 name = _name.sub("", text[got[0][1] : got[0][2]]).strip()
                 square = got[0][0] == "square"
-                if len(name) > 48 or len(name.split()) > 4 or (square and is_sound([w.casefold() for w in WORD.findall(name)])):
+                if square and is_sound([w.casefold() for w in WORD.findall(name)]):
                     got = None
                 else:
                     found = (got[0], name)

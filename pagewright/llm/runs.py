@@ -9,32 +9,165 @@ segments that hold it elsewhere are at most RARE_SHARE of those that hold the ot
 Two words up to four edits apart are two slips of one word of the corpus, from which each is one letter dropped, added,
 changed or swapped apart, if both hardly stand anywhere but beside such words.
 
+Segments are walked in order, in stretches of the order of all segments (sequences.py). What is equal to the one before
+is collapsed on the way, and a boundary tells the place where each run starts. Where slips must decide, the walk marks
+the two parts and their different words; the marks, a few percent of the segments, are decided by joins on words.
+
 Defined results: null, blank and merely hesitant segments are never in a run and end one. Segments with null
-audio_key, start_time or segment_id are left out; a segment that stands in the table again counts once. Equal start
+audio_key, start_time or segment_id are left out; a segment that stands in the table again at
+the same time counts once. Equal start
 times are ordered by segment_id. The end of a run is the latest usable end_time of its segments, its last start at least.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.sequences import collapse_runs, previous_in_sequence
-from pagewright.llm.transcripts import read_segments
+from pagewright.llm.sequences import in_order
+from pagewright.llm.transcripts import read_segments, usable_end
 from pagewright.session import cut_lineage
 
 #: The segments that hold a slip away from the word it stands for are at most this share of those that hold the word.
 RARE_SHARE = 0.1
-
-
-def _apart(a: Column, b: Column) -> Column:
-    """The pairs of different words of two equally long word lists."""
-    return F.filter(F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda p: p["x"] != p["y"])
-
-
-def _slip(p: Column) -> Column:
-    digit = p["x"].rlike(r"\d") | p["y"].rlike(r"\d")
-    return ~digit & (F.least(F.length(p["x"]), F.length(p["y"])) >= 3) & (F.levenshtein(p["x"], p["y"]) <= 4)
+#: What a pair of words may be apart at most: two slips of one word, of two letters each.
+_MOST = 4
+
+
+def _distance(x: str, y: str, most: int = _MOST) -> int:
+    """Edits between two words, or more than most."""
+    if abs(len(x) - len(y)) > most:
+        return most + 1
+    row = list(range(len(y) + 1))
+    for i, c in enumerate(x, 1):
+        before, row[0] = row[0], i
+        for j, d in enumerate(y, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (c != d))
+        if min(row) > most:
+            return most + 1
+    return row[-1]
+
+
+def _near(a: str | None, b: str | None) -> list[tuple[str, str]] | None:
+    """The pairs of different words of two texts if these may be slips; None where the texts can't be the same."""
+    if not a or not b:
+        return None
+    if a == b:
+        return []
+    if a[0] == "♪" or b[0] == "♪" or abs(len(a) - len(b)) > 2 * _MOST:
+        return None
+    x, y = a.split(" "), b.split(" ")
+    if len(x) != len(y):
+        return None
+    pairs = [(v, w) for v, w in zip(x, y) if v != w]
+    if len(pairs) > 2:
+        return None
+    for v, w in pairs:
+        if min(len(v), len(w)) < 3 or any(c.isdigit() for c in v + w) or _distance(v, w) > _MOST:
+            return None
+    return pairs
+
+
+def _pairs(found: list | None, at_x: int, at_y: int) -> list[dict] | None:
+    return None if found is None else [{"x": x, "y": y, "at_x": at_x, "at_y": at_y} for x, y in found]
+
+
+def _links(now: tuple, one: tuple | None, two: tuple | None) -> tuple:
+    """sure, d1, d2, d12 of a segment (sig, id) after one, after two before it: whether it is equal to the one before,
+    and the differences of which slips decide. False and all None: it starts anew."""
+    d1 = _near(now[0], one[0]) if one else None
+    if d1 == []:
+        return True, None, None, None
+    d2 = _near(now[0], two[0]) if two else None
+    d12 = _near(one[0], two[0]) if d2 is not None else None
+    if d12 is None:
+        d2 = None
+    return False, _pairs(d1, now[1], one and one[1]), _pairs(d2, now[1], two and two[1]), _pairs(d12, one and one[1], two and two[1])
+
+
+_SAME = "array<struct<x string, y string, at_x bigint, at_y bigint>>"
+_LINKS = f"sure boolean, d1 {_SAME}, d2 {_SAME}, d12 {_SAME}"
+_PARTS = f"partition int, n bigint, stretch bigint, kind string, head int, tail boolean, audio_key string, first_segment_id bigint, last_segment_id bigint, start_time double, end_time double, count bigint, text string, sig_1 string, sig_2 string, id_2 bigint, {_LINKS}"
+
+
+def _run_parts(rows: Iterator[tuple], partition: int) -> Iterator[tuple]:
+    """Parts: neighbours in a partition that are surely the same. kind is run for a whole run, part for one whose
+    neighbours in its stretch may belong to it, edge for what stands at the partition's edges. The first two segments of
+    the partition's first recording are parts of their own (head), as they may go on from the partition before."""
+    part: list | None = None  # key, first id, last id, start, end, count, text
+    link: tuple = ()
+    key = first_key = last_id = last_start = None
+    n = stretch = in_stretch = at = 0
+    head: int | None = None
+    one: tuple | None = None
+    two: tuple | None = None
+    firsts: list[tuple] = []
+
+    def closed(tail: bool, alone: bool) -> tuple:
+        whole = alone and in_stretch == 1 and head is None and not tail
+        return (partition, n, stretch, "run" if whole else "part", head, tail, *part, None, None, None, *link)
+
+    for k, start, sid, stop, said, sig in rows:
+        if k == key and sid == last_id and start == last_start:
+            continue  # delivered again
+        last_id, last_start = sid, start
+        if k != key:
+            one = two = None
+            at = 0
+            if key is None:
+                first_key = k
+        now = (sig, sid)
+        mine = at if k == first_key and at < 2 else None
+        if mine is not None:
+            firsts.append(now)
+        new = _links(now, one, two)
+        if part is not None and new[0] and mine is None and head is None:
+            part[2] = sid
+            part[4] = max(part[4], stop)
+            part[5] += 1
+        else:
+            apart = k != key or (mine != 1 and not new[0] and new[1] is None and new[2] is None)
+            if part is not None:
+                row = closed(False, apart)
+                if row[3] == "part" or part[5] > 1:
+                    yield row
+                n += 1
+            if apart:
+                stretch += 1
+                in_stretch = 0
+            in_stretch += 1
+            part, link, head = [k, sid, sid, start, stop, 1, said], new, mine
+        key = k
+        at += 1
+        one, two = now, one
+    if part is not None:
+        yield closed(True, False)
+
+        def edge(end: int, k: str, count: int, a: tuple, b: tuple) -> tuple:
+            return (partition, n + 1, stretch, "edge", end, None, k, a[1], None, None, None, count, None, a[0], b[0], b[1], False, None, None, None)
+
+        yield edge(0, first_key, len(firsts), *[*firsts, (None, None)][:2])
+        yield edge(1, key, min(at, 2), one, two or (None, None))
+
+
+def _across(rows: Iterator[tuple], _: int) -> Iterator[tuple]:
+    """partition, head and links of the first segments of each partition's first recording, after the last ones of the
+    partitions before. rows: two a partition, in order."""
+    known, before, first, first_key = None, [], [], None
+    for partition, end, key, id_1, count, sig_1, sig_2, id_2 in rows:
+        own = [(sig_1, id_1), (sig_2, id_2)][:count]
+        if end == 0:
+            first, first_key = own, key
+            seen = list(before) if known == key else []  # the latest first
+            if seen:
+                for i, now in enumerate(own):
+                    yield (partition, i, *_links(now, *[*seen, None][:2]))
+                    seen = [now, *seen]
+        else:
+            before = [*own, *before][:2] if known == key == first_key and len(first) < 2 else own
+            known = key
 
 
 def _variants(w: str) -> Column:
@@ -63,42 +196,50 @@ def _slips(asked: DataFrame, counts: DataFrame) -> DataFrame:
     return pairs.where("one").select("a", "b").unionByName(two).distinct()
 
 
-def repeated_runs(df: DataFrame, least: int = 2) -> DataFrame:
+def repeated_runs(df: DataFrame, least: int = 2, partitions: int | None = None) -> DataFrame:
     """audio_key, first_segment_id, last_segment_id, text, count, start_time, end_time, duration of runs of at least so many segments."""
     said = read_segments(df)
-    words, notes = F.size("words") > 0, F.size("notes") > 0
-    sig = F.when(words, F.col("words")).when(notes, F.concat(F.array(F.lit("♪")), "notes"))
-    label = F.when(words, F.col("said")).otherwise(F.array_join("notes", ", "))
-    said = said.select("audio_key", "segment_id", "start_time", "end_time", "chunk", label.alias("said"), sig.alias("sig"))
-    seen = previous_in_sequence(said.withColumn("own", F.struct("sig", "segment_id")), "audio_key", ["start_time", "segment_id"], "own", 2)
-    seen = seen.withColumns({f"{n}_{i}": F.col(f"own_{i}")[c] for i in (1, 2) for n, c in (("sig", "sig"), ("id", "segment_id"))}).drop("own", "own_1", "own_2")
-
-    def near(a: str, b: str) -> Column:
-        """Differences that may be slips; null where the texts can't be the same."""
-        d = _apart(F.col(a), F.col(b))
-        sound = F.col(a)[0] == "♪"
-        same_kind = (F.size(a) == F.size(b)) & F.col(a)[0].isNotNull() & (sound == (F.col(b)[0] == "♪"))
-        return F.when(same_kind, F.when((F.size(d) <= 2) & F.forall(d, _slip) & ((F.size(d) == 0) | ~sound), d))
-
-    near_ = {"d1": near("sig", "sig_1"), "d2": near("sig", "sig_2"), "d12": near("sig_1", "sig_2")}
-    seen = cut_lineage(seen.withColumns(near_).drop("sig_1", "sig_2", "has_1", "has_2"))
+    words, notes = F.col("words") != "", F.col("notes") != ""
+    sig = F.when(words, F.col("words")).when(notes, F.concat(F.lit("♪"), "notes"))
+    label = F.when(words, F.col("said")).otherwise(F.replace("notes", F.lit("\t"), F.lit(", ")))
+    rows = said.select("audio_key", "start_time", "segment_id", usable_end().alias("end_time"), label.alias("said"), sig.alias("sig"))
+    walked = cut_lineage(in_order(rows, ["audio_key", "start_time", "segment_id"], _run_parts, _PARTS, partitions))
+    edges = walked.where("kind = 'edge'").select("partition", "head", "audio_key", "first_segment_id", "count", "sig_1", "sig_2", "id_2")
+    across = cut_lineage(in_order(edges, ["partition", "head"], _across, f"partition int, head int, {_LINKS}", 1))  # two rows a partition
+    parts = walked.where("kind = 'part'").drop("kind", "sig_1", "sig_2", "id_2").join(F.broadcast(across.select("partition", "head", F.struct("sure", "d1", "d2", "d12").alias("across"))), ["partition", "head"], "left")
+    parts = parts.withColumns({c: F.when(F.col("across").isNotNull(), F.col(f"across.{c}")).otherwise(F.col(c)) for c in ("sure", "d1", "d2", "d12")}).drop("across")
+
     # the segments of all words tell which differences are slips
-    counts = cut_lineage(seen.where(F.col("sig")[0] != "♪").select(F.explode(F.array_distinct("sig")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")))
-
-    def placed(d: str, at_x: str, at_y: str) -> Column:
-        """The differences in one order of their words, with the segments these stand in."""
-        x, y = F.col(at_x), F.col(at_y)
-        return F.transform(d, lambda p: F.struct(p.alias("p"), F.least(p["x"], p["y"]).alias("a"), F.greatest(p["x"], p["y"]).alias("b"), F.when(p["x"] < p["y"], x).otherwise(y).alias("at_a"), F.when(p["x"] < p["y"], y).otherwise(x).alias("at_b")))
-
-    over = F.when(F.col("d2").isNotNull() & F.col("d12").isNotNull(), F.concat(placed("d2", "segment_id", "id_2"), placed("d12", "id_1", "id_2")))
-    every = F.flatten(F.array_compact(F.array(placed("d1", "segment_id", "id_1"), over)))
-    asked = cut_lineage(seen.select("audio_key", "segment_id", F.explode(every).alias("q")).select("audio_key", "segment_id", "q.*"))
-    slips = asked.join(_slips(asked, counts), ["a", "b"]).groupBy("audio_key", "segment_id").agg(F.collect_set("p").alias("slips"))
-    flags = seen.where("sig is not null").join(slips, ["audio_key", "segment_id"], "left")
-    known = F.coalesce("slips", F.array().cast(seen.schema["d1"].dataType))
-    same = {n: F.coalesce(F.size(F.array_except(F.col(n), known)) == 0, F.lit(False)) for n in near_}
-    link = same["d1"] | (same["d2"] & same["d12"])
-    end = F.greatest(F.coalesce("end_time", "start_time"), F.col("start_time"))
-    marked = flags.select("audio_key", "segment_id", "start_time", end.alias("end_time"), "chunk", (~link).alias("is_start"), F.lit(None).cast("string").alias("value"), "said")
-    runs = collapse_runs(marked, "audio_key").where(F.col("events") >= least)
-    return runs.select("audio_key", "first_segment_id", "last_segment_id", "text", F.col("events").alias("count"), "start_time", F.col("last_end").alias("end_time"), (F.col("last_end") - F.col("start_time")).alias("duration"))
+    counts = cut_lineage(said.where(words).select(F.explode(F.array_distinct(F.split("words", " "))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")))
+
+    def placed(p: Column) -> Column:
+        """A difference in one order of its words, with the segments these stand in."""
+        turned = p["x"] > p["y"]
+        pick = lambda a, b, name: F.when(turned, p[b]).otherwise(p[a]).alias(name)
+        return F.struct(F.struct(p["x"].alias("x"), p["y"].alias("y")).alias("p"), pick("x", "y", "a"), pick("y", "x", "b"), pick("at_x", "at_y", "at_a"), pick("at_y", "at_x", "at_b"))
+
+    every = F.flatten(F.array_compact(F.array("d1", "d2", "d12")))
+    asked = cut_lineage(parts.select("audio_key", "partition", "n", F.explode(F.transform(every, placed)).alias("q")).select("audio_key", "partition", "n", "q.*"))
+    slips = asked.join(_slips(asked, counts), ["a", "b"]).groupBy("partition", "n").agg(F.collect_set("p").alias("slips"))
+    is_slip = lambda p: F.exists("slips", lambda q: (q["x"] == p["x"]) & (q["y"] == p["y"]))
+    same = {c: F.coalesce((F.size(c) == 0) | F.forall(c, is_slip), F.lit(False)) for c in ("d1", "d2", "d12")}
+    # a stretch lies in one partition; its parts make runs, of which the first may go on from another and the last into one
+    linked = parts.join(slips, ["partition", "n"], "left").withColumn("linked", F.col("sure") | same["d1"] | (same["d2"] & same["d12"]))
+    linked = linked.withColumn("run", F.sum((~F.col("linked")).cast("int")).over(Window.partitionBy("partition", "stretch").orderBy("n")))
+
+    def put_together(df: DataFrame, *by: str) -> DataFrame:
+        """One row per group, from rows in the order of partition and n."""
+        place = F.struct("partition", "n")
+        firsts = [F.min_by(c, place).alias(c) for c in ("first_segment_id", "start_time", "text", "linked", "head")]
+        lasts = [F.max_by("last_segment_id", place).alias("last_segment_id"), F.max("end_time").alias("end_time"), F.sum("count").alias("count"), F.bool_or("tail").alias("tail")]
+        return df.groupBy("audio_key", *by).agg(*firsts, *lasts, F.min("n").alias("n"))
+
+    runs = cut_lineage(put_together(linked, "partition", "stretch", "run"))
+    goes_on = (F.col("linked") & (F.col("head") == 0)).eqNullSafe(True)
+    edge = goes_on | F.col("tail")
+    # at most two rows a partition: what goes on from the one before belongs to the last that doesn't
+    opened = F.sum((~goes_on).cast("int")).over(Window.partitionBy("audio_key").orderBy("partition", "n"))
+    over = put_together(runs.where(edge).withColumn("run", opened), "run")
+    columns = ["audio_key", "first_segment_id", "last_segment_id", "text", "count", "start_time", "end_time"]
+    found = walked.where("kind = 'run'").select(*columns).unionByName(runs.where(~edge).select(*columns)).unionByName(over.select(*columns)).where(F.col("count") >= least)
+    return found.withColumn("duration", F.col("end_time") - F.col("start_time"))

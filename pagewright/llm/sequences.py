@@ -1,114 +1,43 @@
-"""Runs in ordered event sequences, without one task ever holding a whole sequence.
+"""Ordered event sequences walked in one pass, without a task that holds a whole sequence.
 
-A sequence is cut into chunks of its time axis; windows run within (key, chunk). What crosses a chunk's edge travels
-through one summary row per chunk, so a key that holds a third of all events is spread over many tasks.
-Runs are found by boundary interval lookup: the run starts of a chunk form a sorted array, and each event finds its run
-by binary search; the part of a run that reaches into later chunks joins its start through the summary.
+Events are range-partitioned by (key, time, id): every partition is a stretch of the one order of all events, of about
+equal size whatever the keys are, so a key that holds a third of all rows, or all of them, spreads over many partitions.
+A walk reads its partition once, in order. What may go on across an edge of a partition is marked; it is a few rows a
+partition, which are put together afterwards. Their number grows with the partitions, not with the events.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
-
-#: Seconds of the time axis in a chunk.
-CHUNK_S = 900.0
-
-
-def chunk_of(time: str | Column, seconds: float = CHUNK_S) -> Column:
-    """The chunk of a start time; NaN and infinite times share the last one."""
-    t = F.col(time) if isinstance(time, str) else time
-    return F.when(F.isnan(t) | (F.abs(t) > 1e15), F.lit(2**60)).otherwise(F.floor(t / seconds)).cast("bigint")
-
-
-def carry_forward(df: DataFrame, key: str, order: list[str], value: str, out: str) -> DataFrame:
-    """Adds out: the latest non-null value up to each row, in order, per key. df has the column chunk."""
-    within = Window.partitionBy(key, "chunk").orderBy(*order)
-    over = Window.partitionBy(key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order)))
-    carried = df.groupBy(key, "chunk").agg(last.alias("_last")).select(key, "chunk", F.last("_last", ignorenulls=True).over(over).alias("_carried"))
-    local = F.last(value, ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("_local", local).join(carried, [key, "chunk"]).withColumn(out, F.coalesce("_local", "_carried")).drop("_local", "_carried")
-
-
-def previous_in_sequence(df: DataFrame, key: str, order: list[str], value: str, depth: int) -> DataFrame:
-    """Adds value_1 ... value_depth, the values of that many rows before, and has_1 ...: whether there is such a row."""
-    within = Window.partitionBy(key, "chunk").orderBy(*order)
-    boxed = F.struct(F.col(value).alias("v"))
-    df = df.withColumns({f"_l{i}": F.lag(boxed, i).over(within) for i in range(1, depth + 1)}).withColumns({"_rn": F.row_number().over(within), "_next": F.lead(F.lit(1)).over(within)})
-    # the last depth values of each chunk, newest first; then of all chunks before it
-    tail = df.where("_next is null").select(key, "chunk", F.filter(F.array(boxed, *[F.col(f"_l{i}") for i in range(1, depth)]), lambda x: x.isNotNull()).alias("_tail"))
-    over = Window.partitionBy(key).orderBy("chunk")
-    tails = [F.coalesce(F.lag("_tail", i).over(over), F.array().cast(tail.schema["_tail"].dataType)) for i in range(1, depth + 1)]
-    carried = tail.select(key, "chunk", F.slice(F.concat(*tails), 1, depth).alias("_carried"))
-    df = df.join(carried, [key, "chunk"])
-    for i in range(1, depth + 1):
-        box = F.coalesce(F.col(f"_l{i}"), F.when(F.col("_rn") <= i, F.try_element_at("_carried", (F.lit(i) - F.col("_rn") + 1).cast("int"))))
-        df = df.withColumns({f"{value}_{i}": box["v"], f"has_{i}": box.isNotNull()})
-    return df.drop("_rn", "_next", "_carried", *[f"_l{i}" for i in range(1, depth + 1)])
-
-
-_PART = "{key} {kind}, chunk bigint, opens boolean, first_time double, first_segment_id bigint, last_time double, last_segment_id bigint, last_end double, value string, name string, text string, first_said string, n_words bigint, events bigint"
-
-
-def collapse_runs(df: DataFrame, key: str, text: bool = False) -> DataFrame:
-    """One row per run of events: first_segment_id, last_segment_id, start_time, last_end, events, value, name, text, n_words.
-
-    df: key, chunk, segment_id, start_time, end_time, is_start, value and, with text, said, n_words and speaker_name.
-    A run without a start before it begins at its first event. text is the events' texts in order, first_said the first.
-    """
-    extra = ["said", "n_words", "speaker_name"]
-    if not text:
-        df = df.withColumns({"n_words": F.lit(0).cast("bigint"), "speaker_name": F.lit(None).cast("string")})
-    df = df.select(key, "chunk", "segment_id", F.col("start_time").cast("double"), F.col("end_time").cast("double"), "is_start", "value", *extra)
-    kind = df.schema[key].dataType.simpleString()
-
-    def parts(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start_time", "segment_id"], kind="stable")
-        at = np.arange(len(pdf))
-        starts = at[pdf["is_start"].to_numpy(bool)]
-        run = np.searchsorted(starts, at, side="right")  # 0: belongs to a run of an earlier chunk
-        cuts = np.flatnonzero(np.diff(run, prepend=-1))
-        ends = np.append(cuts[1:], len(pdf)) - 1
-        time, sid, stop = (pdf[c].to_numpy() for c in ("start_time", "segment_id", "end_time"))
-        said, names = pdf["said"].to_numpy(object), pdf["speaker_name"].to_numpy(object)
-        words = np.add.reduceat(pdf["n_words"].to_numpy("int64"), cuts)
-        return pd.DataFrame(
-            {
-                key: pdf[key].to_numpy()[cuts],
-                "chunk": pdf["chunk"].to_numpy()[cuts],
-                "opens": run[cuts] > 0,
-                "first_time": time[cuts],
-                "first_segment_id": sid[cuts],
-                "last_time": time[ends],
-                "last_segment_id": sid[ends],
-                "last_end": [np.nanmax(stop[a : b + 1]) if not np.isnan(stop[a : b + 1]).all() else None for a, b in zip(cuts, ends)],
-                "value": pdf["value"].to_numpy(object)[cuts],
-                "name": [next((x for x in names[a : b + 1] if isinstance(x, str)), None) for a, b in zip(cuts, ends)],
-                "text": [" ".join(x for x in said[a : b + 1] if isinstance(x, str)) if text else None for a, b in zip(cuts, ends)],
-                "first_said": said[cuts],
-                "n_words": words,
-                "events": ends - cuts + 1,
-            }
-        )
-
-    part = df.groupBy(key, "chunk").applyInPandas(parts, _PART.format(key=f"`{key}`", kind=kind))
-    # a run is known by its opening part; parts that open none belong to the last opened before them
-    over = Window.partitionBy(key).orderBy("first_time", "first_segment_id").rowsBetween(Window.unboundedPreceding, 0)
-    opened = F.last(F.when(F.col("opens"), F.struct("first_time", "first_segment_id")), ignorenulls=True).over(over)
-    part = part.withColumn("run", opened)
-    place = F.struct("first_time", "first_segment_id")
-    spoken = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first_time", "first_segment_id", "text"))), lambda x: x["text"]), " ")
-    return part.groupBy(key, "run").agg(
-        F.min_by("first_segment_id", place).alias("first_segment_id"),
-        F.max_by("last_segment_id", F.struct("last_time", "last_segment_id")).alias("last_segment_id"),
-        F.min("first_time").alias("start_time"),
-        F.max("last_end").alias("last_end"),
-        F.sum("events").alias("events"),
-        F.min_by("value", place).alias("value"),
-        F.min_by("name", F.when(F.col("name").isNotNull(), place)).alias("name"),
-        (spoken if text else F.min_by("first_said", place)).alias("text"),
-        F.sum("n_words").alias("n_words"),
-    )
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+Walk = Callable[[Iterator[tuple], int], Iterator[tuple]]
+#: Rows of a walk that are handed over at once.
+ROWS = 10_000
+
+
+def in_order(df: DataFrame, order: list[str], walk: Walk, schema: str, partitions: int | None = None) -> DataFrame:
+    """What walk(rows, partition) gives for each partition of df's rows in order; the order must tell rows apart, but for
+    rows that are delivered again, which stand side by side. partitions: as many as shuffles have, if not given."""
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = T._parse_datatype_string(schema)
+    arrow = to_arrow_schema(out)
+
+    def batches(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in read for row in zip(*(c.to_pylist() for c in batch.columns)))
+        made: list[tuple] = []
+        for row in walk(rows, TaskContext.get().partitionId()):
+            made.append(row)
+            if len(made) >= ROWS:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), arrow.types)], schema=arrow)
+                made = []
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), arrow.types)], schema=arrow)
+
+    return df.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(batches, out)

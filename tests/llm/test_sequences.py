@@ -1,9 +1,11 @@
 import random
+import time
 
 import pytest
 
 from pagewright.llm import peg
 from pagewright.llm.runs import repeated_runs
+from pagewright.llm.sequences import in_order
 from pagewright.llm.transcripts import read_segment, speaker_key, speaker_turns
 
 SCHEMA = "segment_id long, audio_key string, start_time double, end_time double, text string, voice string, speaker_key int"
@@ -37,12 +39,20 @@ def test_spellings_of_a_speaker(names):
         ("  ", None, "", []),
         ("[unclosed", None, "unclosed", []),
         ("[" * 500, None, "", []),
+        ("[crowd noise ×12 " + "and more " * 40 + "] hello", None, "hello", [" ".join(["crowd noise 12"] + ["and more"] * 40)]),
+        ("[" * 40 + "a" + "]" * 40 + " b", None, "b", ["a"]),
+        ("*" + "far " * 30 + "* (" + "so " * 30 + "long) ♪" + "la " * 90 + "♪ yes", None, "yes", [" ".join(["far"] * 30), " ".join(["so"] * 30 + ["long"]), " ".join(["la"] * 90)]),
+        ("(engine revving) hello", None, "hello", ["engine revving"]),
+        ("We left. (engine revving) It was late.", None, "we left it was late", ["engine revving"]),
+        ("She left um... (the old one) here", None, "she left the old one here", []),
+        ("a [b (c] d) [[x]]", None, "a d", ["b c", "x"]),
+        ("Ada Byron Augusta King Noel Lovelace: yes", "ada augusta byron king lovelace noel", "yes", []),
     ],
 )
 def test_grammar(text, label, words, notes):
-    r = read_segment(text)
-    assert (r["label_key"] if r["label_sure"] else None) == label
-    assert " ".join(r["words"]) == words and r["notes"] == notes
+    key, sure, _, _, spoken, _, noted = read_segment(text)
+    assert (key if sure else None) == label
+    assert spoken == words and [n for n in noted.split("\t") if n] == notes
 
 
 def test_grammar_covers_every_text():
@@ -55,15 +65,22 @@ def test_grammar_covers_every_text():
         assert peg.body(t, at)[0][2] == len(t)
 
 
+def test_marks_of_any_number_are_read_in_linear_time():
+    for text in ("[" * 50_000, "[ " * 50_000 + "]", "((" * 25_000 + "))" * 25_000, "([{<" * 12_500 + ")" * 100, "* " * 50_000):
+        t = time.perf_counter()
+        read_segment(text)
+        assert time.perf_counter() - t < 10
+
+
 def test_heads_that_are_no_labels():
     for text in ("Note: the lamp is here.", "Two things: first this.", "TWO THINGS: FIRST THIS.", "I went home - then slept"):
-        r = read_segment(text)
-        assert not r["label_sure"] and r["label_words"]
+        _, sure, own, *_ = read_segment(text)
+        assert not sure and own
 
 
-def turns(spark, rows):
+def turns(spark, rows, partitions=None):
     df = spark.createDataFrame([(i, "a", float(s), float(s) + 1, t, v, 0) for i, s, t, v in rows], SCHEMA)
-    return [(r.first_segment_id, r.last_segment_id, r.speaker_key) for r in sorted(speaker_turns(df).collect(), key=lambda r: r.start_time)]
+    return [(r.first_segment_id, r.last_segment_id, r.speaker_key) for r in sorted(speaker_turns(df, partitions).collect(), key=lambda r: r.start_time)]
 
 
 def test_turns(spark):
@@ -71,7 +88,8 @@ def test_turns(spark):
     assert turns(spark, rows) == [(1, 1, None), (2, 6, "#1"), (7, 8, "#2")]
 
 
-def test_turns_against_a_plain_walk(spark):
+@pytest.mark.parametrize("partitions", [1, 3, 40, 300])
+def test_turns_against_a_plain_walk(spark, partitions):
     r = random.Random(7)
     rows, at, expected, who, seen = [], 0.0, [], None, False
     for i in range(400):
@@ -85,12 +103,33 @@ def test_turns_against_a_plain_walk(spark):
             expected[-1][1] = i
             who, seen = now, True
     r.shuffle(rows)
-    assert turns(spark, rows) == [tuple(x) for x in expected]
+    assert turns(spark, rows, partitions) == [tuple(x) for x in expected]
 
 
-def runs(spark, texts, gap=2.0):
+def runs(spark, texts, gap=2.0, partitions=None):
     df = spark.createDataFrame([(i, "a", i * gap, i * gap + 1, t, None, 0) for i, t in enumerate(texts)], SCHEMA)
-    return sorted((r.first_segment_id, r.last_segment_id, r["count"]) for r in repeated_runs(df).collect())
+    return sorted((r.first_segment_id, r.last_segment_id, r["count"]) for r in repeated_runs(df, partitions=partitions).collect())
+
+
+@pytest.mark.parametrize("partitions", [1, 2, 7, 60, 200])
+def test_runs_against_a_plain_walk(spark, partitions):
+    """Whatever the stretches are, down to one segment each: runs with and without slips, broken by other text."""
+    r = random.Random(3)
+    texts, expected = [], []
+    for i in range(40):
+        own = r.choice(["see the granite now", "[beep]", "please wait here", f"item {i}", None])
+        n = r.choice([1, 1, 2, 3, 9])
+        if own and n > 1:
+            expected.append((len(texts), len(texts) + n - 1, n))
+        slipped = [own.replace("granite", "grantie") if own and j % 3 == 1 else own for j in range(n)]
+        texts += [*slipped, f"between {i} one"]
+    assert runs(spark, texts + ["granite here"] * 1, partitions=partitions) == expected
+
+
+def test_a_sequence_that_holds_all_rows_is_spread(spark):
+    df = spark.range(8000).selectExpr("'a' AS k", "CAST(id % 4000 AS DOUBLE) AS t", "id")
+    got = in_order(df, ["k", "t", "id"], lambda rows, p: iter([(p, sum(1 for _ in rows))]), "p int, n bigint", 16).collect()
+    assert sum(r.n for r in got) == 8000 and max(r.n for r in got) <= 1000
 
 
 def test_runs(spark):
@@ -112,7 +151,7 @@ def test_slips_at_any_frequency(spark):
     assert runs(spark, texts) == expected
 
 
-def test_runs_cross_chunks(spark):
+def test_runs_far_apart(spark):
     assert runs(spark, ["a b c"] * 7 + ["d"] + ["a b c"] * 2, gap=800.0) == [(0, 6, 7), (8, 9, 2)]
 
 

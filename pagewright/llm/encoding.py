@@ -1,25 +1,36 @@
 """Text that was decoded with the wrong character encoding: found and restored through the corpus's own clean words.
 
-Every distinct clean word of the corpus is garbled under all encoding chains; the tokens of the cells are hash-joined
+Every distinct clean word of the corpus is garbled under all encoding chains; the tokens of the lines are hash-joined
 against that table, and a verified match gives the original back. Verified means: the token doesn't look like a word
-itself, or the corpus holds the original far more often. Characters are words of one letter: their table serves single
-cells and text without blanks, as a token made of garbled forms of clean characters under one chain.
+itself and its form has more characters than the original, or the corpus holds the original RARER times as often.
+Letters are words of one character: their table serves single cells, and tokens that are made of garbled letters of one
+chain, such as text without blanks or words that the corpus has nowhere in their clean form.
 
-Single characters of a page are read as words in the order of cell_index, so that a letter is judged by its neighbours.
+A chain writes text in one encoding and reads it in another, up to three times over. Chains of one step take all pairs;
+further steps read UTF-8 as one of the common PAGES. Bytes that an encoding leaves undefined become C1 controls or U+FFFD.
+Forms are made where they are used: a bitmap of fixed size of all pieces' hashes tells most forms that no token has, so
+only the rest is shuffled.
+
+A line's chain is the one that explains most of its garbled tokens. Where all its non-ASCII tokens are garbled the line
+is decoded back whole; else its garbled tokens are replaced, each in its place.
 
 Defined results: null and empty values are never found. Values with U+FFFD or C1 controls are found, restorable or not;
-what can't be restored keeps its token. Redelivered cells count once. Texts are read whole.
+what can't be restored keeps its token. Redelivered cells count once. Texts are read whole. A cell of a single character
+is found only by such evidence, as one letter in place of another shows in no other way.
 """
 
 from __future__ import annotations
 
 import codecs
 import re
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.lookalikes import script
@@ -30,14 +41,19 @@ WRITTEN = ("utf-8", "cp1252", "latin-1", "iso8859-2", "cp1250", "cp1251", "koi8-
 READ = ("cp1252", "latin-1", "mac-roman", "cp437", "cp850", "cp852", "cp1250", "cp1251", "cp1253", "cp1254", "iso8859-2", "iso8859-5", "iso8859-7", "iso8859-9", "iso8859-15", "koi8-r", "cp866", "mac-cyrillic")
 #: Encodings of several bytes a character that UTF-8 was taken for.
 READ_WIDE = ("cp932", "gb18030", "big5", "euc_kr")
-#: Chains of two such errors.
-TWICE = ("cp1252", "latin-1", "cp1251", "cp1250", "mac-roman", "cp437", "cp850")
-#: A match that looks like a word must be so many times rarer than its original.
+#: Pages that the second and third step of a chain read UTF-8 as, and encodings that such chains start with.
+PAGES = ("cp1252", "latin-1", "cp1251", "cp1250", "mac-roman", "cp437", "cp850")
+STARTS = ("cp1250", "cp1251", "iso8859-2", "iso8859-7", "koi8-r", "cp866")
+#: A match that could be a word itself must be so many times rarer than its original.
 RARER = 4
 MAX_BROADCAST_ROWS = 200_000
+#: Buckets of 32,768 bits of the bitmap: 4 MB.
+BUCKETS = 1024
 
 _PUNCTUATION = "“”‘’„‚–—…«»‹›€°§·•™×±№¿¡。、「」・"
 _EVIDENCE = "[\\u0080-\\u0084\\u0086-\\u009f\\ufffd]"
+_C1_OR_LOST = re.compile("[\u0080-\u0084\u0086-\u009f�]")
+LOST = "�"
 
 
 @lru_cache(maxsize=None)
@@ -52,69 +68,131 @@ def _table(encoding: str, undefined: str | None) -> str:
     return "".join(out)
 
 
-def _read(data: bytes, encoding: str, undefined: str | None = None) -> str:
-    return codecs.charmap_decode(data, "strict", _table(encoding, undefined))[0]
+@lru_cache(maxsize=None)
+def _bytes_of(encoding: str) -> dict[str, int]:
+    return {c: b for b, c in reversed([*enumerate(_table(encoding, None))])}
 
 
-_C1 = re.compile("[\\x80-\\x9f]")
+def _read(data: bytes, encoding: str, undefined: str | None = None) -> str:
+    return codecs.charmap_decode(data, "strict", _table(encoding, undefined))[0]
 
 
-def garbled(word: str) -> dict[str, str]:
-    """Every garbled form of a word under the chains, with the first chain that gives it. Forms of nothing but
-    replacement characters tell nothing and are left out."""
-    out: dict[str, str] = {}
-    seen: set[bytes] = set()
-    wide = any("\u3000" <= c for c in word)
-    for written in WRITTEN:
-        if written in ("shift_jis", "euc_jp") and not wide:
-            continue
+@lru_cache(maxsize=1)
+def chains() -> tuple[tuple[str, ...], ...]:
+    """The chains that change each character by itself: the encoding it was written in, then the pages it was read as,
+    with UTF-8 between them. ascii drops every byte over 127."""
+    one = [(w, r) for w in WRITTEN for r in READ if w != r]
+    one.insert(len(READ), ("utf-8", "ascii"))
+    two = [(s, a, b) for s in ("utf-8", *STARTS) for a in (PAGES if s == "utf-8" else PAGES[:2]) for b in PAGES]
+    three = [("utf-8", a, b, c) for a in PAGES for b in PAGES for c in PAGES]
+    return (*one, *two, *three)
+
+
+def name_of(chain: tuple[str, ...]) -> str:
+    return ">".join([chain[0], *">utf-8>".join(chain[1:]).split(">")])
+
+
+def _wide_script(c: str) -> bool:
+    return c >= "⺀"
+
+
+@lru_cache(maxsize=8192)
+def _images(c: str) -> tuple[str | None, ...]:
+    """What becomes of a character under each chain, twice: undefined bytes as C1 controls and as U+FFFD."""
+    out: list[str | None] = []
+    for undefined in (None, LOST):
+        steps: dict[tuple[str, ...], str | None] = {}
+        for written in WRITTEN:
+            try:
+                data = c.encode(written)
+            except UnicodeEncodeError:
+                data = None
+            for read in READ:
+                steps[written, read] = None if data is None else _read(data, read, undefined)
+        steps["utf-8", "ascii"] = LOST * len(c.encode("utf-8"))
+        for chain in chains():
+            if chain not in steps:
+                before = steps[chain[:-1]]
+                steps[chain] = None if before is None else _read(before.encode("utf-8"), chain[-1], undefined)
+            out.append(steps[chain])
+    one = {x: x for x in out}
+    return tuple(one[x] for x in out)
+
+
+@lru_cache(maxsize=4096)
+def _classes(characters: tuple[str, ...]) -> tuple[tuple[dict[int, str], tuple[int, ...]], ...]:
+    """For words with these non-ASCII characters: what each becomes, and the chains that make that of them."""
+    found: dict[tuple, list[int]] = {}
+    n = len(chains())
+    for i, images in enumerate(zip(*map(_images, characters))):
+        if None not in images:
+            found.setdefault(images, []).append(i % n)
+    return tuple(({ord(c): x for c, x in zip(characters, images)}, tuple(dict.fromkeys(own))) for images, own in found.items() if images != characters)
+
+
+def garbled(word: str) -> dict[str, tuple[int, ...]]:
+    """Every garbled form of a word, with the chains that give it, by number; those that read several bytes as a
+    character follow the others: first what was written in any other encoding read as UTF-8, then UTF-8 read as the wide ones.
+    Forms of nothing but replacement characters tell nothing and are left out."""
+    out: dict[str, tuple[int, ...]] = {}
+    characters = tuple(sorted({c for c in word if not c.isascii()}))
+    if not characters:
+        return out
+    for table, own in _classes(characters):
+        form = word.translate(table)
+        out[form] = out[form] + own if form in out else own
+    at = len(chains())
+    for i, written in enumerate(WRITTEN[1:]):
         try:
-            data = word.encode(written)
+            form = word.encode(written).decode("utf-8", "replace")
         except UnicodeEncodeError:
             continue
-        if data in seen or not data:
-            continue
-        seen.add(data)
-        for read in READ:
-            if read == written:
-                continue
-            form = _read(data, read)
-            out.setdefault(form, f"{written}>{read}")
-            if _C1.search(form):
-                out.setdefault(_read(data, read, "\ufffd"), f"{written}>{read}")
-        if written != "utf-8":
-            out.setdefault(data.decode("utf-8", "replace"), f"{written}>utf-8")
-            continue
-        out.setdefault("".join(chr(b) if b < 128 else "\ufffd" for b in data), "utf-8>ascii")
-        for read in READ_WIDE:
-            out.setdefault(data.decode(read, "replace"), f"utf-8>{read}")
-        for read in TWICE:
-            once = _read(data, read)
-            for first in (once, _read(data, read, "\ufffd")) if _C1.search(once) else (once,):
-                again = _read(first.encode("utf-8"), read)
-                out.setdefault(again, f"utf-8>{read}>utf-8>{read}")
-                if _C1.search(again):
-                    out.setdefault(_read(first.encode("utf-8"), read, "\ufffd"), f"utf-8>{read}>utf-8>{read}")
+        out[form] = (*out.get(form, ()), at + i)
+    for i, read in enumerate(READ_WIDE):
+        form = word.encode("utf-8", "surrogatepass").decode(read, "replace")
+        out[form] = (*out.get(form, ()), at + len(WRITTEN) - 1 + i)
     out.pop(word, None)
-    return {f: c for f, c in out.items() if not f.isascii() and f.strip("\ufffd")}
+    return {f: c for f, c in out.items() if not f.isascii() and f.strip(LOST)}
 
 
 @lru_cache(maxsize=1)
-def _marks() -> tuple[re.Pattern, re.Pattern, dict[str, str], frozenset[str]]:
-    """Garbled punctuation at a token's ends, what it stands for, and that of one character."""
-    table: dict[str, str] = {}
-    single = set()
+def chain_names() -> tuple[str, ...]:
+    return (*map(name_of, chains()), *(f"{w}>utf-8" for w in WRITTEN[1:]), *(f"utf-8>{r}" for r in READ_WIDE))
+
+
+def undo(text: str, chain: int) -> str | None:
+    """The text before the chain, if every character can be told."""
+    steps = name_of(chains()[chain]).split(">") if chain < len(chains()) else chain_names()[chain].split(">")
+    try:
+        for read, written in zip(steps[-1::-2], steps[-2::-2]):
+            if read in READ:
+                own = _bytes_of(read)
+                data = bytes([own[c] for c in text])
+            else:
+                data = text.encode(read)
+            text = data.decode(written)
+    except (KeyError, UnicodeError):
+        return None
+    return text
+
+
+@lru_cache(maxsize=1)
+def _marks() -> dict[str, str]:
+    """Garbled forms of punctuation, and what they stand for; a form of one character is one that no text has."""
+    out: dict[str, str] = {}
     for c in _PUNCTUATION:
         for form in garbled(c):
-            if len(form) > 1 and not form.isspace():
-                table.setdefault(form, c)
-            elif len(form) == 1:
-                single.add(form)
-    both = "|".join(re.escape(f) for f in sorted(table, key=len, reverse=True))
-    clean = f"[!-/:-@\\[-`{{-~{_PUNCTUATION}]"
-    return re.compile(f"^(?:{both}|{clean})+"), re.compile(f"(?:{both}|{clean})+$"), table, frozenset(single)
+            if not form.isspace():
+                out.setdefault(form, c)
+    return out
+
+
+@lru_cache(maxsize=1)
+def _mark_sizes() -> tuple[int, ...]:
+    return tuple(sorted({len(f) for f in _marks()} - {1}, reverse=True))
 
 
+_CLEAN_MARK = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" + _PUNCTUATION)
 _CLEAN_ENDS = re.compile(f"^[!-/:-@\\[-`{{-~{_PUNCTUATION}\\d]+|[!-/:-@\\[-`{{-~{_PUNCTUATION}\\d]+$")
 _ASCII_ENDS = re.compile(r"^[!-@\[-`{-~]+|[!-@\[-`{-~]+$")
 
@@ -126,7 +204,7 @@ def looks_clean(word: str) -> bool:
     kinds = {script(c) for c in word}
     if len(kinds) != 1:
         return False
-    if any("\uff00" <= c <= "\uffef" for c in word):
+    if any("＀" <= c <= "￯" for c in word):
         return False
     if kinds == {"OTHER"}:
         return all(0x3040 <= ord(c) <= 0x30FF or 0x3400 <= ord(c) <= 0x9FFF or ord(c) > 0x0530 for c in word)
@@ -134,190 +212,290 @@ def looks_clean(word: str) -> bool:
     return word.islower() or rest.islower() or rest == "" or all(c.isupper() or c == "ß" for c in word)
 
 
-def _pieces(token: str) -> list[str]:
-    """The token and what is left of it without punctuation, clean or garbled, at its ends; and garbled punctuation itself."""
-    head, tail, table, single = _marks()
+def _without_marks(token: str) -> tuple[str, str, str]:
+    """What is left of a token without punctuation, clean or garbled, at its ends; and these."""
+    marks, sizes = _marks(), _mark_sizes()
+    a, b = 0, len(token)
+    while a < b:
+        n = next((n for n in sizes if a + n <= b and token[a : a + n] in marks), int(token[a] in _CLEAN_MARK))
+        if not n:
+            break
+        a += n
+    while b > a:
+        n = next((n for n in sizes if b - n >= a and token[b - n : b] in marks), int(token[b - 1] in _CLEAN_MARK))
+        if not n:
+            break
+        b -= n
+    return token[:a], token[a:b], token[b:]
+
+
+def _pieces(token: str) -> list[tuple[str, bool]]:
+    """The token and what is left of it without punctuation, clean or garbled, at its ends, and garbled punctuation
+    itself; each with whether it may be clean text as it is."""
     plain = _ASCII_ENDS.sub("", token)
-    out = [_CLEAN_ENDS.sub("", token) or token, plain]
-    a = head.match(token)
-    b = tail.search(token, a.end() if a else 0)
-    out.append(_CLEAN_ENDS.sub("", token[a.end() if a else 0 : b.start() if b else len(token)]))
-    for form in (a.group() if a else "", b.group() if b else ""):
-        form = _ASCII_ENDS.sub("", form)
-        if form in table:
-            out.append(form)
+    bare = _CLEAN_ENDS.sub("", token)
+    head, inner, tail = _without_marks(token)
+    out = [bare or token, plain, _CLEAN_ENDS.sub("", inner)]
+    marks = _marks()
+    out += [form for form in (_ASCII_ENDS.sub("", head), _ASCII_ENDS.sub("", tail)) if form in marks and (len(form) > 1 or _C1_OR_LOST.search(form))]
     if not looks_clean(plain):
-        if plain[:1] in single:
+        if plain[:1] in marks:
             out.append(plain[1:])
-        if plain[-1:] in single:
+        if plain[-1:] in marks:
             out.append(plain[:-1])
-    return [p for p in dict.fromkeys(out) if p and not p.isascii()]
+    whole = (not bare or bare.isascii() or looks_clean(bare)) and set(head + tail) <= _CLEAN_MARK  # clean but for clean punctuation at its ends
+    return [(p, looks_clean(p) or (whole and p in (plain, bare))) for p in dict.fromkeys(out) if p and not p.isascii()]
 
 
 def _non_ascii(c: Column) -> Column:
     return c.rlike("[^\\x00-\\x7F]")
 
 
+_BLANK = re.compile("([ \\t\\r\\n]+)")
+
+
 def tokens_of(values: DataFrame, value: str) -> DataFrame:
     """values with token: its distinct non-ASCII tokens, parted at ASCII blanks only, as others may be garbled letters."""
     own = values.where(_non_ascii(F.col(value)))
     return own.withColumn("token", F.explode(F.array_distinct(F.split(value, "[ \\t\\r\\n]+")))).where(_non_ascii(F.col("token")))
 
 
-def char_words(chars: DataFrame) -> DataFrame:
-    """word, cells (cell_id, text): the stretches between blank or null cells of each page of single characters.
-    Pages bound the windows; a hot document is spread over its pages."""
-    by_page = Window.partitionBy("doc_key", "page_no").orderBy("cell_index", "cell_id")
-    own = chars.select("doc_key", "page_no", "cell_index", "cell_id", "text")
-    own = own.withColumn("again", F.lag("cell_id").over(by_page).eqNullSafe(F.col("cell_id")) & F.lag("text").over(by_page).eqNullSafe(F.col("text")) & F.col("cell_id").isNotNull())
-    blank = F.col("text").isNull() | F.col("text").rlike("^[ \\t\\r\\n]*$")
-    own = own.where(~F.col("again")).withColumn("gap", blank).withColumn("part", F.sum(F.col("gap").cast("int")).over(by_page))
-    words = own.where(~F.col("gap")).groupBy("doc_key", "page_no", "part").agg(F.array_sort(F.collect_list(F.struct("cell_index", "cell_id", "text"))).alias("cells"))
-    return words.select(F.array_join(F.transform("cells", lambda c: c["text"]), "").alias("word"), F.transform("cells", lambda c: F.struct(c["cell_id"].alias("cell_id"), c["text"].alias("text"))).alias("cells")).where(_non_ascii(F.col("word")))
-
-
 def _split_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = [(t, n, p, looks_clean(p)) for t, n in zip(pdf["token"], pdf["n"]) for p in _pieces(t)]
-        yield pd.DataFrame(rows, columns=["token", "n", "piece", "clean"])
-
-
-def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        form, word, chain, n = [], [], [], []
-        for w, count in zip(pdf["word"], pdf["n"]):
-            for f, c in garbled(w).items():
-                form.append(f)
-                word.append(w)
-                chain.append(c)
-                n.append(count)
-        yield pd.DataFrame({"piece": form, "word": word, "chain": chain, "nw": n})
+        rows = [(t, n, p, clean, looks_clean(p)) for t, n in zip(pdf["token"], pdf["n"]) for p, clean in _pieces(t)]
+        yield pd.DataFrame(rows, columns=["token", "n", "piece", "clean", "word"])
 
 
 def clean_words(pieces: DataFrame) -> DataFrame:
     """word, n: the distinct clean words, in the cases they may take, and the distinct characters of clean words."""
-    own = pieces.where("clean").groupBy(F.col("piece").alias("word")).agg(F.sum("n").alias("n"))
-    cased = own.select(F.explode(F.array("word", F.lower("word"), F.upper("word"), F.initcap("word"))).alias("word"), "n")
-    cased = cased.groupBy("word").agg(F.sum("n").alias("n")).where(F.length("word") <= 40)
+    own = pieces.where("word").groupBy(F.col("piece").alias("word")).agg(F.sum("n").alias("n"))
+    cased = own.select(F.explode(F.array_distinct(F.array("word", F.lower("word"), F.upper("word"), F.initcap("word")))).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
     letters = own.select(F.explode(F.array_distinct(F.split("word", ""))).alias("word"), "n").where(_non_ascii(F.col("word"))).groupBy("word").agg(F.sum("n").alias("n"))
     marks = pieces.sparkSession.createDataFrame([(c, 1 << 40) for c in _PUNCTUATION if not c.isascii()], "word string, n bigint")
     return cased.where(F.length("word") > 1).unionByName(letters).unionByName(marks)
 
 
-def _segments(letters: dict[str, int]) -> dict[str, dict[str, str]]:
-    """By chain: garbled forms of two or more characters, and the clean characters they stand for."""
-    by: dict[str, dict[str, str]] = {}
-    for c in [*letters, *_PUNCTUATION]:
-        for form, chain in garbled(c).items():
-            if len(form) > 1 and "�" not in form:
-                by.setdefault(chain, {}).setdefault(form, c)
-    return by
+def _hash_place(c: Column) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(BUCKETS * 32768)) + 1
 
 
-def _wide(token: str, letters: dict[str, int]) -> tuple[str, str] | None:
-    """UTF-8 taken for an encoding of several bytes a character, if that gives clean characters only."""
-    for read in READ_WIDE:
-        try:
-            back = token.encode(read).decode("utf-8")
-        except UnicodeError:
+def _bitmap(pieces: DataFrame) -> bytes:
+    """A bit for the hash of every piece: of one fixed size for any number of pieces."""
+    own = pieces.select(_hash_place(F.col("piece")).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    out = bytearray(BUCKETS * 4096)
+    for b, bits in own.collect():
+        out[(b - 1) * 4096 : b * 4096] = bits
+    return bytes(out)
+
+
+def forms_of(words: DataFrame, bitmap: bytes) -> DataFrame:
+    """piece, word, nw, chains: the garbled forms of all words that may be a piece of a token."""
+    shared = words.sparkSession.sparkContext.broadcast(bitmap)
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits, mask, digest = shared.value, BUCKETS * 32768 - 1, xxhash.xxh64_intdigest
+        for pdf in batches:
+            rows = []
+            for w, n in zip(pdf["word"], pdf["n"]):
+                for form, own in garbled(w).items():
+                    at = digest(form.encode("utf-8", "replace"), 42) & mask
+                    if bits[at >> 3] & (1 << (at & 7)):
+                        rows.append((form, w, n, list(own)))
+            yield pd.DataFrame(rows, columns=["piece", "word", "nw", "chains"])
+
+    spread = words.repartition(4 * max(1, words.sparkSession.sparkContext.defaultParallelism), "word")
+    return spread.mapInPandas(make, "piece string, word string, nw bigint, chains array<int>")
+
+
+@lru_cache(maxsize=2)
+def _letter_forms(letters: tuple[str, ...]) -> tuple[dict[str, int], dict[tuple[str, int], str], int]:
+    """Garbled forms of single characters that have two or more, or are controls: a bit for each chain that gives them, what they
+    stand for by form and chain, and the longest. Wide scripts take the chains of one step or two."""
+    masks: dict[str, int] = {}
+    stands: dict[tuple[str, int], str] = {}
+    n = len(chains())
+    short = frozenset(i for i, chain in enumerate(chains()) if len(chain) <= 3 and chain[0] in ("utf-8", "shift_jis", "euc_jp"))
+    for c in [*letters, *_PUNCTUATION]:
+        own: dict[str, int] = {}
+        for i, form in enumerate(_images(c)[:n]):
+            if form and (len(form) > 1 or "\x80" <= form <= "\x9f") and LOST not in form and form != c and (i in short or not _wide_script(c)):
+                own[form] = own.get(form, 0) | (1 << i)
+                stands.setdefault((form, i), c)
+        for form, mask in own.items():
+            masks[form] = masks.get(form, 0) | mask
+    return masks, stands, max(map(len, masks), default=0)
+
+
+@lru_cache(maxsize=2)
+def _single_forms(letters: tuple[str, ...]) -> dict[str, tuple[str, int]]:
+    """What a cell of several characters, or of a control, stands for by the simplest chain, and that chain."""
+    table: dict[str, tuple[str, int]] = {}
+    for c in [*letters, *_PUNCTUATION]:
+        for form, own in garbled(c).items() if not _wide_script(c) else ():
+            if (len(form) > 1 or _C1_OR_LOST.search(form)) and (form not in table or min(own) < table[form][1]):
+                table[form] = (c, min(own))
+    return table
+
+
+def _by_letters(token: str, masks: dict[str, int], stands: dict[tuple[str, int], str], longest: int) -> tuple[str, int] | None:
+    """The original of a token all of whose non-ASCII characters belong to garbled letters of one chain, and the chain."""
+    whole = (1 << len(chains())) - 1
+    reach = [0] * (len(token) + 1)
+    reach[0] = whole
+    for i, c in enumerate(token):
+        own = reach[i]
+        if not own:
+            continue
+        if c.isascii():
+            reach[i + 1] |= own
+        for n in range(1, min(longest, len(token) - i) + 1):
+            mask = masks.get(token[i : i + n])
+            if mask:
+                reach[i + n] |= own & mask
+    if not reach[-1]:
+        return None
+    chain = (reach[-1] & -reach[-1]).bit_length() - 1
+    out, at = [], len(token)
+    while at:
+        if reach[at - 1] >> chain & 1 and token[at - 1].isascii():
+            at -= 1
+            out.append(token[at])
             continue
-        if not back.isascii() and all(c.isascii() or c in letters or c in _PUNCTUATION for c in back):
-            return back, f"utf-8>{read}"
+        for n in range(1, min(longest, at) + 1):
+            form = token[at - n : at]
+            if reach[at - n] >> chain & 1 and masks.get(form, 0) >> chain & 1:
+                out.append(stands[form, chain])
+                at -= n
+                break
+        else:
+            return None
+    return "".join(reversed(out)), chain
+
+
+def _wide(token: str, known: frozenset[str]) -> tuple[str, int] | None:
+    """UTF-8 taken for an encoding of several bytes a character, whose forms depend on the neighbours: where that gives
+    clean characters only."""
+    for i in range(len(chain_names()) - len(READ_WIDE), len(chain_names())):
+        back = undo(token, i)
+        if back is not None and not back.isascii() and all(c.isascii() or c in known for c in back):
+            return back, i
     return None
 
 
-def garbled_tokens(token_counts: DataFrame) -> DataFrame:
-    """token, piece, original, chain: the tokens (token, n) that hold wrongly decoded text. original is null where it
-    can't be had. Materialised."""
-    pieces = cut_lineage(token_counts.mapInPandas(_split_pieces, "token string, n bigint, piece string, clean boolean"))
-    words = clean_words(pieces)
-    forms = words.repartition("word").mapInPandas(_forms, "piece string, word string, chain string, nw bigint")
-    best = forms.groupBy("piece").agg(F.max_by(F.struct("word", "chain", "nw"), F.struct("nw", F.length("word"), "word")).alias("b"))
-    per_piece = pieces.groupBy("piece").agg(F.sum("n").alias("np"))
-    matched = pieces.join(per_piece, "piece").join(best, "piece")
-    strange = ~F.col("clean") & (F.length("piece") > 1)
-    rarer = F.col("clean") & (F.length("piece") >= 2) & (F.length("b.word") >= 2) & (F.col("b.nw") >= RARER * F.col("np"))
-    found = matched.where(strange | rarer).select("token", "piece", F.col("b.word").alias("original"), F.col("b.chain").alias("chain"))
+def garbled_tokens(token_counts: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
+    """fixes: token, and its pieces with their originals and chains (null where they can't be had), for the tokens
+    (token, n) that hold wrongly decoded text; materialised. And the corpus's clean characters."""
+    pieces = cut_lineage(token_counts.mapInPandas(_split_pieces, "token string, n bigint, piece string, clean boolean, word boolean"))
+    words = cut_lineage(clean_words(pieces))
+    forms = forms_of(words, _bitmap(pieces))
+    per_piece = pieces.groupBy("piece").agg(F.sum("n").alias("np"), F.bool_or("clean").alias("clean"))
+    more = F.length("piece") > F.length("word")
+    lost = F.col("piece").contains(LOST)
+    plain = ~F.col("clean") & (more | lost | F.col("piece").rlike(_EVIDENCE))
+    rarer = (F.length("piece") >= 2) & (F.length("word") >= 2) & (F.col("nw") >= RARER * F.col("np"))
+    matched = per_piece.join(forms, "piece").where(((F.length("piece") > 1) | F.col("piece").rlike(_EVIDENCE)) & (plain | rarer))
+    best = matched.groupBy("piece").agg(F.array_sort(F.collect_list(F.struct((-F.col("nw")).alias("n"), F.col("word").alias("original"), "chains"))).alias("c"))
+    found = pieces.select("token", "piece").join(best, "piece").select("token", "piece", F.transform("c", lambda x: F.struct(x["original"].alias("original"), x["chains"].alias("chains"))).alias("originals"))
 
     # tokens without blanks between words, and words that the corpus has nowhere in their clean form: by characters
-    letters = {r["word"]: r["n"] for r in words.where(F.length("word") == 1).collect()}  # bounded by Unicode
-    table = _segments(letters)
+    letters = tuple(sorted(r["word"] for r in words.where(F.length("word") == 1).select("word").collect()))  # bounded by Unicode
 
     def by_letters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compiled = [(chain, re.compile("|".join(re.escape(f) for f in sorted(own, key=len, reverse=True))), own) for chain, own in table.items()]
+        known = frozenset(letters) | frozenset(_PUNCTUATION)
+        table = _letter_forms(letters)
         for pdf in batches:
             rows = []
             for token in pdf["token"]:
-                for chain, pattern, own in compiled:
-                    left = pattern.sub("", token)
-                    if left.isascii() and left != token:
-                        rows.append((token, token, pattern.sub(lambda m, own=own: own[m.group()], token), chain))
-                        break
-                else:
-                    if wide := _wide(token, letters):
-                        rows.append((token, token, *wide))
-                    elif re.search(_EVIDENCE, token):
-                        rows.append((token, token, None, None))
-            yield pd.DataFrame(rows, columns=["token", "piece", "original", "chain"])
-
-    rest = pieces.groupBy("token").agg(F.min(F.col("clean").cast("int")).alias("clean")).where("clean = 0").select("token").join(found.select("token").distinct(), "token", "left_anti")
-    more = rest.mapInPandas(by_letters, "token string, piece string, original string, chain string")
-    return cut_lineage(found.unionByName(more))
-
-
-def _found(textlines: DataFrame, chars: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The garbled tokens, the textlines' tokens and the characters' words."""
-    lines = tokens_of(textlines.select("cell_id", "orig"), "orig")
-    words = cut_lineage(char_words(chars))
-    shown = words.select(F.col("word").alias("token")).unionByName(words.select(F.explode("cells").alias("c")).select(F.col("c.text").alias("token")).where(_non_ascii(F.col("token")) & (F.length("token") > 1)))
-    counts = lines.select("token").unionByName(shown).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    return garbled_tokens(counts), lines, words
+                got = _by_letters(token, *table) or _wide(token, known)
+                if got is not None:
+                    rows.append((token, token, [{"original": got[0], "chains": [got[1]]}]))
+                elif _C1_OR_LOST.search(token):
+                    rows.append((token, token, []))
+            yield pd.DataFrame(rows, columns=["token", "piece", "originals"])
+
+    rest = pieces.groupBy("token").agg(F.bool_or("clean").alias("clean")).where(~F.col("clean") | F.col("token").rlike(_EVIDENCE)).select("token").join(found.select("token").distinct(), "token", "left_anti")
+    others = rest.mapInPandas(by_letters, "token string, piece string, originals array<struct<original string, chains array<int>>>")
+    fixes = found.unionByName(others).groupBy("token").agg(F.array_sort(F.collect_set(F.struct("piece", "originals"))).alias("fixes"))
+    return cut_lineage(fixes), letters
+
+
+def _restore_line(value: str, fixes: dict[str, list], known: frozenset[str]) -> tuple[str, str | None]:
+    """The value with its garbled tokens restored, by the chain that explains most of them.
+    fixes: by token, its pieces with their originals and the chains of each."""
+    of_token = {token: sorted({c for _, originals in own for _, of in originals for c in of}) for token, own in fixes.items()}
+    votes = Counter(c for own in of_token.values() for c in own)
+    ranked = {c: i for i, (c, _) in enumerate(sorted(votes.items(), key=lambda x: (-x[1], x[0])))}
+    if not ranked:
+        return value, None
+    fits = lambda s: s is not None and all(c.isascii() or c in known for c in s)
+    parts = _BLANK.split(value)
+    loose = {p for p in parts if not p.isascii() and p not in fixes and not any(clean for _, clean in _pieces(p))}
+    if all(p in fixes or p in loose or p.isascii() for p in parts):
+        for c in ranked:
+            if votes[c] == max(votes.values()):
+                back = undo(value, c)
+                if fits(back) and back != value:
+                    return back, chain_names()[c]
+    used: Counter = Counter()
+    for i, p in enumerate(parts):
+        if p not in fixes and p not in loose:
+            continue
+        for c in ranked if p in loose else sorted(of_token[p], key=ranked.__getitem__):
+            back = undo(p, c)
+            if fits(back) and back != p:
+                parts[i] = back
+                used[c] += 1
+                break
+        else:
+            for piece, originals in sorted(fixes.get(p, []), key=lambda f: -len(f[0])):
+                if originals and piece in parts[i]:
+                    original, of = min(originals, key=lambda o: min(map(ranked.__getitem__, o[1])))
+                    parts[i] = parts[i].replace(piece, original, 1)
+                    used[min(of, key=ranked.__getitem__)] += 1
+    return "".join(parts), chain_names()[used.most_common(1)[0][0]] if used else None
+
+
+def _one_character(text: str) -> bool:
+    return len(unicodedata.normalize("NFC", text)) == 1
 
 
 def garbled_cells(textlines: DataFrame, chars: DataFrame) -> DataFrame:
     """cell_kind, cell_id, value, restored, chain: the cells with wrongly decoded characters, once each."""
-    bad, lines, words = _found(textlines, chars)
-    fixes = broadcast_if_small(bad.groupBy("token").agg(F.collect_list(F.struct("piece", "original", "chain")).alias("fixes")), MAX_BROADCAST_ROWS)
-    hit = lines.join(fixes, "token")
-    line = hit.groupBy("cell_id", "orig").agg(F.flatten(F.collect_list("fixes")).alias("fixes"))
-
-    def restored(value: str) -> Column:
-        longest = F.array_sort("fixes", lambda a, b: F.length(b["piece"]) - F.length(a["piece"]))
-        return F.aggregate(longest, F.col(value), lambda acc, f: F.when(f["original"].isNull(), acc).otherwise(F.replace(acc, f["piece"], f["original"])))
-
-    chain = F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.transform("fixes", lambda f: f["chain"])))), ", ")
-    lines_out = line.select(F.lit("textline").alias("cell_kind"), "cell_id", F.col("orig").alias("value"), restored("orig").alias("restored"), chain.alias("chain"))
-
-    # cells that are garbled by themselves
-    cell = words.select(F.explode("cells").alias("c")).select("c.cell_id", "c.text").where(_non_ascii(F.col("text")) & ((F.length("text") > 1) | F.col("text").rlike(_EVIDENCE)))
-    own = cell.join(fixes.withColumnRenamed("token", "text"), "text", "left").where(F.col("fixes").isNotNull() | F.col("text").rlike(_EVIDENCE))
-    own = own.select("cell_id", F.col("text").alias("value"), F.element_at("fixes", 1)["original"].alias("restored"), F.element_at("fixes", 1)["chain"].alias("chain"))
-    # cells of garbled words: the letters that aren't ASCII
-    in_word = words.join(fixes.withColumnRenamed("token", "word"), "word").withColumn("f", F.element_at("fixes", 1)).where(F.col("f.original").isNotNull())
-    in_word = in_word.select(F.explode("cells").alias("c"), F.col("f.original").alias("original"), F.col("f.chain").alias("chain"), F.col("f.piece").alias("piece"))
-    in_word = in_word.where(_non_ascii(F.col("c.text")) & F.col("piece").contains(F.col("c.text")) & ~F.col("c.text").rlike(f"^[{_PUNCTUATION}]$"))
-    letter = F.pandas_udf(_letter, "string")("c.text", "original")
-    in_word = in_word.select("c.cell_id", F.col("c.text").alias("value"), letter.alias("restored"), "chain")
-    chars_out = own.unionByName(in_word).groupBy("cell_id", "value").agg(F.first("restored", ignorenulls=True).alias("restored"), F.first("chain", ignorenulls=True).alias("chain"))
-    return lines_out.unionByName(chars_out.select(F.lit("char").alias("cell_kind"), "cell_id", "value", F.coalesce("restored", "value").alias("restored"), "chain"))
-
-
-def _letter(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """The letter of the original word of which the cell's text is a garbled form."""
-    cache: dict[str, dict[str, str]] = {}
-    for texts, originals in batches:
-        out = []
-        for text, original in zip(texts, originals):
-            found = None
-            for c in original:
-                if not c.isascii():
-                    if c not in cache:
-                        cache[c] = garbled(c)
-                    if text in cache[c]:
-                        found = c
-                        break
-            out.append(found)
-        yield pd.Series(out, dtype=object)
-
-
-__all__ = ["char_words", "clean_words", "garbled", "garbled_cells", "garbled_tokens", "looks_clean", "tokens_of"]
+    lines = tokens_of(textlines.select("cell_id", "orig"), "orig")
+    fixes, letters = garbled_tokens(lines.groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+    hit = lines.join(broadcast_if_small(fixes, MAX_BROADCAST_ROWS), "token").dropDuplicates(["cell_id", "orig", "token"])
+    line = hit.groupBy("cell_id", "orig").agg(F.collect_list(F.struct("token", "fixes")).alias("own"))
+
+    def restore(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = frozenset(letters) | frozenset(_PUNCTUATION)
+        for pdf in batches:
+            rows = [_restore_line(v, {o["token"]: [(f["piece"], [(x["original"], x["chains"].tolist()) for x in f["originals"]]) for f in o["fixes"]] for o in own}, known) for v, own in zip(pdf["orig"], pdf["own"])]
+            yield pd.DataFrame({"cell_kind": "textline", "cell_id": pdf["cell_id"], "value": pdf["orig"], "restored": [r for r, _ in rows], "chain": pd.Series([c for _, c in rows], dtype=object)})
+
+    kind = textlines.schema["cell_id"].dataType.simpleString()
+    schema = f"cell_kind string, cell_id {kind}, value string, restored string, chain string"
+    lines_out = line.mapInPandas(restore, schema)
+
+    # single cells: a cell of several characters that are the garbled form of one
+    cells = chars.select("cell_id", "text").where(_non_ascii(F.col("text")) & ((F.length("text") > 1) | F.col("text").rlike(_EVIDENCE)))
+    texts = cells.select("text").distinct()
+
+    def by_letter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = _single_forms(letters)
+        wide = _letter_forms(letters)
+        for pdf in batches:
+            rows = []
+            for text in pdf["text"]:
+                got = None if _one_character(text) and not _C1_OR_LOST.search(text) else table.get(text) or _by_letters(text, *wide)
+                if got is not None:
+                    rows.append((text, got[0], chain_names()[got[1]]))
+                elif _C1_OR_LOST.search(text):
+                    rows.append((text, text, None))
+            yield pd.DataFrame(rows, columns=["text", "restored", "chain"])
+
+    found = texts.mapInPandas(by_letter, "text string, restored string, chain string")
+    chars_out = cells.join(broadcast_if_small(cut_lineage(found), MAX_BROADCAST_ROWS), "text").dropDuplicates(["cell_id", "text"])
+    return lines_out.unionByName(chars_out.select(F.lit("char").alias("cell_kind"), "cell_id", F.col("text").alias("value"), "restored", "chain"))
+
+
+__all__ = ["chain_names", "chains", "clean_words", "garbled", "garbled_cells", "garbled_tokens", "looks_clean", "tokens_of", "undo"]

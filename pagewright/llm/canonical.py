@@ -89,7 +89,8 @@ def _joins(text: str, i: int) -> bool:
 
 
 def _loose(text: str) -> str:
-    """Canonical form of the segments that normalization, width, blanks and invisible characters make unstable."""
+    """The text with its unstable segments made canonical: what normalization, width, blanks and invisible characters
+    concern, each with the stable character before it. Only these segments are normalized; the rest is spliced in as it is."""
     segment, hidden = _patterns()
     out, at = [], 0
     for m in segment.finditer(text):
@@ -98,13 +99,9 @@ def _loose(text: str) -> str:
         if hidden.search(own):
             own = "".join(c for i, c in enumerate(own, a) if not hidden.match(c) or _joins(text, i))
         folded = "".join(unicodedata.normalize("NFKC", c) if "！" <= c <= "￮" else " " if c in _BLANK else c for c in own)
-        out.append(text[at:a])
-        out.append(folded)
+        out += [text[at:a], unicodedata.normalize("NFC", folded)]
         at = b
-    if not out:
-        return text
-    out.append(text[at:])
-    return unicodedata.normalize("NFC", "".join(out)) if out else text
+    return "".join([*out, text[at:]]) if out else text
 
 
 _BLANK = frozenset("\u00a0\u1680\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
@@ -138,28 +135,37 @@ def _scripts(text: str) -> str:
         return text
     words = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(text)]
     kinds = [{s for s in map(script, w) if s} for _, _, w in words]
-    letters = {s: sum(len(w) for (_, _, w), k in zip(words, kinds) if k == {s}) for s in (LATIN, CYRILLIC, GREEK)}
-    line = max(letters, key=lambda s: letters[s]) if any(letters.values()) else None
-    rest = sum(len(w) for (_, _, w), k in zip(words, kinds) if len(k) == 1) - (letters[line] if line else 0)
+    host_of_line, looks = _line_script(words, kinds)
     out, at = [], 0
     for (a, b, w), k in zip(words, kinds):
         new = None
         if len(k) > 1 or (k == {LATIN} and set(w) & ALIEN_IN_HOST[LATIN] and not _phonetic(w)) or k == {ARMENIAN}:
             # a mixed word: the host that takes every letter, by letters only it has, then by the line
-            fits = {h: f for h in (LATIN, CYRILLIC, GREEK) if (h in k or (k == {ARMENIAN} and h == line)) and (f := _fits(w, h)) is not None}
+            fits = {h: f for h in (LATIN, CYRILLIC, GREEK) if (h in k or (k == {ARMENIAN} and h == host_of_line)) and (f := _fits(w, h)) is not None}
             if fits:
-                host = max(fits, key=lambda h: (_own(w, h), h == line, sum(script(c) == h for c in w)))
+                host = max(fits, key=lambda h: (_own(w, h), h == host_of_line, sum(script(c) == h for c in w)))
                 new = fits[host]
-        elif len(k) == 1 and line is not None and k != {line} and rest == len(w) and letters[line] >= max(6, 2 * len(w)):
+        elif looks and len(k) == 1 and k != {host_of_line}:
             # a whole word of look-alikes in a line otherwise in one script; not a unit, a sign or a code
             if not (text[a - 1 : a] in ("°", "&", "/", "@", "#", "_") and a) and not text[b : b + 1].isdigit() and not text[a - 1 : a].isdigit():
-                new = _fits(w, line)
+                new = _fits(w, host_of_line)
         if new is not None and new != w:
             out += [text[at:a], new]
             at = b
     return "".join([*out, text[at:]]) if out else text
 
 
+def _line_script(words: list[tuple[int, int, str]], kinds: list[set[str]]) -> tuple[str | None, bool]:
+    """The script of most letters of the line, and whether the line's other words, each by itself, only look foreign:
+    all their letters look like letters of that script, of which the line has twice as many."""
+    letters = {s: sum(len(w) for (_, _, w), k in zip(words, kinds) if k == {s}) for s in (LATIN, CYRILLIC, GREEK)}
+    line = max(letters, key=lambda s: letters[s]) if any(letters.values()) else None
+    if line is None:
+        return None, False
+    foreign = [w for (_, _, w), k in zip(words, kinds) if len(k) == 1 and k != {line}]
+    return line, bool(foreign) and letters[line] >= 2 * sum(map(len, foreign)) and all(_fits(w, line) is not None for w in foreign)
+
+
 def _phonetic(word: str) -> bool:
     """Whether other phonetic letters show that the word is a transcription."""
     return any("ɐ" <= c <= "ʯ" and c not in "ɑɡ" for c in word)
@@ -168,11 +174,10 @@ def _phonetic(word: str) -> bool:
 def canonical(text: str | None) -> str | None:
     if text is None or text.isascii():
         return text
-    for _ in range(4):  # a letter put into another script may compose with its mark
-        new = unicodedata.normalize("NFC", _scripts(_loose(text)))
-        if new == text:
-            break
-        text = new
+    seen = set()
+    while text not in seen:  # a letter put into another script may compose with its mark, until nothing changes
+        seen.add(text)
+        text = _scripts(_loose(text))
     return text
 
 

@@ -26,6 +26,10 @@ CASES = [
     ("K", "K"),
     ("می\u200cروم", "می\u200cروم"),
     ("The сор near", "The cop near"),
+    ("Новый договор cop и pacce готов", "Новый договор сор и рассе готов"),
+    ("Да OK", "Да OK"),
+    ("Новый договор cop и windows готов", "Новый договор cop и windows готов"),
+    ("е\u0301tude", "étude"),
     ("", ""),
     (None, None),
 ]
@@ -36,6 +40,23 @@ def test_canonical(text, expected):
     assert canonical(text) == expected
 
 
+def test_stable_stretches_are_not_normalized(monkeypatch):
+    seen = []
+
+    class Recorder:
+        def __getattr__(self, name):
+            return getattr(unicodedata, name)
+
+        def normalize(self, form, text):
+            seen.append(text)
+            return unicodedata.normalize(form, text)
+
+    monkeypatch.setattr("pagewright.llm.canonical.unicodedata", Recorder())
+    text = "é stable " * 2000 + "cafe\u0301 Ａ" + " more stable ß" * 2000
+    assert canonical(text) == "é stable " * 2000 + "café A" + " more stable ß" * 2000
+    assert max(map(len, seen)) <= 3
+
+
 def test_canonical_is_stable_and_composed():
     r = random.Random(2)
     pool = "aeo éàüß\u0301\u0308\u200b\u00a0Ａ１аоебвгλμν\u3000각가\U0001f469\u200dÅ"

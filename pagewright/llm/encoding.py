@@ -27,6 +27,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import pandas as pd
 import xxhash
@@ -96,10 +97,14 @@ def _wide_script(c: str) -> bool:
     return c >= "⺀"
 
 
+#: Stands for what an encoding can't write.
+_NONE = "\0"
+
+
 @lru_cache(maxsize=8192)
-def _images(c: str) -> tuple[str | None, ...]:
+def _images(c: str) -> tuple[str, ...]:
     """What becomes of a character under each chain, twice: undefined bytes as C1 controls and as U+FFFD."""
-    out: list[str | None] = []
+    out: list[str] = []
     for undefined in (None, LOST):
         steps: dict[tuple[str, ...], str | None] = {}
         for written in WRITTEN:
@@ -114,45 +119,41 @@ def _images(c: str) -> tuple[str | None, ...]:
             if chain not in steps:
                 before = steps[chain[:-1]]
                 steps[chain] = None if before is None else _read(before.encode("utf-8"), chain[-1], undefined)
-            out.append(steps[chain])
+            out.append(_NONE if steps[chain] is None else steps[chain])
     one = {x: x for x in out}
     return tuple(one[x] for x in out)
 
 
-@lru_cache(maxsize=4096)
-def _classes(characters: tuple[str, ...]) -> tuple[tuple[dict[int, str], tuple[int, ...]], ...]:
-    """For words with these non-ASCII characters: what each becomes, and the chains that make that of them."""
-    found: dict[tuple, list[int]] = {}
-    n = len(chains())
-    for i, images in enumerate(zip(*map(_images, characters))):
-        if None not in images:
-            found.setdefault(images, []).append(i % n)
-    return tuple(({ord(c): x for c, x in zip(characters, images)}, tuple(dict.fromkeys(own))) for images, own in found.items() if images != characters)
+_PARTS = re.compile("[\x00-\x7f]+|[^\x00-\x7f]")
 
 
-def garbled(word: str) -> dict[str, tuple[int, ...]]:
-    """Every garbled form of a word, with the chains that give it, by number; those that read several bytes as a
-    character follow the others: first what was written in any other encoding read as UTF-8, then UTF-8 read as the wide ones.
-    Forms of nothing but replacement characters tell nothing and are left out."""
-    out: dict[str, tuple[int, ...]] = {}
-    characters = tuple(sorted({c for c in word if not c.isascii()}))
-    if not characters:
-        return out
-    for table, own in _classes(characters):
-        form = word.translate(table)
-        out[form] = out[form] + own if form in out else own
-    at = len(chains())
-    for i, written in enumerate(WRITTEN[1:]):
+def _forms(word: str) -> list[str]:
+    """The word under each chain, twice, in the order of _images; then what was written in any encoding but UTF-8 and
+    read as UTF-8, and UTF-8 read as the wide ones, whose forms depend on the neighbours."""
+    columns = [repeat(part) if part.isascii() else _images(part) for part in _PARTS.findall(word)]
+    out = list(map("".join, zip(*columns)))
+    for written in WRITTEN[1:]:
         try:
-            form = word.encode(written).decode("utf-8", "replace")
+            out.append(word.encode(written).decode("utf-8", "replace"))
         except UnicodeEncodeError:
-            continue
-        out[form] = (*out.get(form, ()), at + i)
-    for i, read in enumerate(READ_WIDE):
-        form = word.encode("utf-8", "surrogatepass").decode(read, "replace")
-        out[form] = (*out.get(form, ()), at + len(WRITTEN) - 1 + i)
-    out.pop(word, None)
-    return {f: c for f, c in out.items() if not f.isascii() and f.strip(LOST)}
+            out.append(_NONE)
+    out += [word.encode("utf-8", "surrogatepass").decode(read, "replace") for read in READ_WIDE]
+    return out
+
+
+def _tells(form: str, word: str) -> bool:
+    """Whether a form is one: forms of nothing but replacement characters tell nothing."""
+    return form != word and not form.isascii() and _NONE not in form and bool(form.strip(LOST))
+
+
+def garbled(word: str) -> dict[str, tuple[int, ...]]:
+    """Every garbled form of a word, with the numbers of the chains that give it."""
+    out: dict[str, list[int]] = {}
+    if not word.isascii():
+        n = len(chains())
+        for i, form in enumerate(_forms(word)):
+            out.setdefault(form, []).append(i % n if i < 2 * n else i - n)
+    return {f: tuple(dict.fromkeys(c)) for f, c in out.items() if _tells(f, word)}
 
 
 @lru_cache(maxsize=1)
@@ -293,14 +294,17 @@ def forms_of(words: DataFrame, bitmap: bytes) -> DataFrame:
     shared = words.sparkSession.sparkContext.broadcast(bitmap)
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits, mask, digest = shared.value, BUCKETS * 32768 - 1, xxhash.xxh64_intdigest
+        bits, mask, digest, half = shared.value, BUCKETS * 32768 - 1, xxhash.xxh64_intdigest, len(chains())
         for pdf in batches:
             rows = []
             for w, n in zip(pdf["word"], pdf["n"]):
-                for form, own in garbled(w).items():
+                if w.isascii():
+                    continue
+                forms = _forms(w)
+                for form in set(forms):
                     at = digest(form.encode("utf-8", "replace"), 42) & mask
-                    if bits[at >> 3] & (1 << (at & 7)):
-                        rows.append((form, w, n, list(own)))
+                    if bits[at >> 3] & (1 << (at & 7)) and _tells(form, w):
+                        rows.append((form, w, n, list(dict.fromkeys(i % half if i < 2 * half else i - half for i, f in enumerate(forms) if f == form))))
             yield pd.DataFrame(rows, columns=["piece", "word", "nw", "chains"])
 
     spread = words.repartition(4 * max(1, words.sparkSession.sparkContext.defaultParallelism), "word")
@@ -308,22 +312,27 @@ def forms_of(words: DataFrame, bitmap: bytes) -> DataFrame:
 
 
 @lru_cache(maxsize=2)
-def _letter_forms(letters: tuple[str, ...]) -> tuple[dict[str, int], dict[tuple[str, int], str], int]:
-    """Garbled forms of single characters that have two or more, or are controls: a bit for each chain that gives them, what they
-    stand for by form and chain, and the longest. Wide scripts take the chains of one step or two."""
+def _letter_forms(letters: tuple[str, ...]) -> tuple[dict[str, int], int]:
+    """Garbled forms of single characters that have two or more, or are controls: a bit for each chain that gives them;
+    and the longest. Wide scripts take the chains of one step or two."""
     masks: dict[str, int] = {}
-    stands: dict[tuple[str, int], str] = {}
     n = len(chains())
-    short = frozenset(i for i, chain in enumerate(chains()) if len(chain) <= 3 and chain[0] in ("utf-8", "shift_jis", "euc_jp"))
+    short = [i for i, chain in enumerate(chains()) if len(chain) <= 3 and chain[0] in ("utf-8", "shift_jis", "euc_jp")]
     for c in [*letters, *_PUNCTUATION]:
+        images = _images(c)
         own: dict[str, int] = {}
-        for i, form in enumerate(_images(c)[:n]):
-            if form and (len(form) > 1 or "\x80" <= form <= "\x9f") and LOST not in form and form != c and (i in short or not _wide_script(c)):
-                own[form] = own.get(form, 0) | (1 << i)
-                stands.setdefault((form, i), c)
+        for i in short if _wide_script(c) else range(n):
+            own[images[i]] = own.get(images[i], 0) | (1 << i)
         for form, mask in own.items():
-            masks[form] = masks.get(form, 0) | mask
-    return masks, stands, max(map(len, masks), default=0)
+            if (len(form) > 1 or "\x80" <= form <= "\x9f") and LOST not in form:
+                masks[form] = masks.get(form, 0) | mask
+    return masks, max(map(len, masks), default=0)
+
+
+@lru_cache(maxsize=64)
+def _stands(letters: tuple[str, ...], chain: int) -> dict[str, str]:
+    """What a letter's form under a chain stands for."""
+    return {_images(c)[chain]: c for c in [*_PUNCTUATION, *letters]}
 
 
 @lru_cache(maxsize=2)
@@ -337,8 +346,9 @@ def _single_forms(letters: tuple[str, ...]) -> dict[str, tuple[str, int]]:
     return table
 
 
-def _by_letters(token: str, masks: dict[str, int], stands: dict[tuple[str, int], str], longest: int) -> tuple[str, int] | None:
+def _by_letters(token: str, letters: tuple[str, ...]) -> tuple[str, int] | None:
     """The original of a token all of whose non-ASCII characters belong to garbled letters of one chain, and the chain."""
+    masks, longest = _letter_forms(letters)
     whole = (1 << len(chains())) - 1
     reach = [0] * (len(token) + 1)
     reach[0] = whole
@@ -355,6 +365,7 @@ def _by_letters(token: str, masks: dict[str, int], stands: dict[tuple[str, int],
     if not reach[-1]:
         return None
     chain = (reach[-1] & -reach[-1]).bit_length() - 1
+    stands = _stands(letters, chain)
     out, at = [], len(token)
     while at:
         if reach[at - 1] >> chain & 1 and token[at - 1].isascii():
@@ -364,7 +375,7 @@ def _by_letters(token: str, masks: dict[str, int], stands: dict[tuple[str, int],
         for n in range(1, min(longest, at) + 1):
             form = token[at - n : at]
             if reach[at - n] >> chain & 1 and masks.get(form, 0) >> chain & 1:
-                out.append(stands[form, chain])
+                out.append(stands[form])
                 at -= n
                 break
         else:
@@ -402,11 +413,10 @@ def garbled_tokens(token_counts: DataFrame) -> tuple[DataFrame, tuple[str, ...]]
 
     def by_letters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = frozenset(letters) | frozenset(_PUNCTUATION)
-        table = _letter_forms(letters)
         for pdf in batches:
             rows = []
             for token in pdf["token"]:
-                got = _by_letters(token, *table) or _wide(token, known)
+                got = _by_letters(token, letters) or _wide(token, known)
                 if got is not None:
                     rows.append((token, token, [{"original": got[0], "chains": [got[1]]}]))
                 elif _C1_OR_LOST.search(token):
@@ -482,11 +492,10 @@ def garbled_cells(textlines: DataFrame, chars: DataFrame) -> DataFrame:
 
     def by_letter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = _single_forms(letters)
-        wide = _letter_forms(letters)
         for pdf in batches:
             rows = []
             for text in pdf["text"]:
-                got = None if _one_character(text) and not _C1_OR_LOST.search(text) else table.get(text) or _by_letters(text, *wide)
+                got = None if _one_character(text) and not _C1_OR_LOST.search(text) else table.get(text) or _by_letters(text, letters)
                 if got is not None:
                     rows.append((text, got[0], chain_names()[got[1]]))
                 elif _C1_OR_LOST.search(text):

@@ -469,14 +469,20 @@ def _one_character(text: str) -> bool:
     return len(unicodedata.normalize("NFC", text)) == 1
 
 
-def garbled_cells(textlines: DataFrame, chars: DataFrame) -> DataFrame:
-    """cell_kind, cell_id, value, restored, chain: the cells with wrongly decoded characters, once each."""
+def garbled_cells(textlines: DataFrame, chars: DataFrame, restore: bool = True) -> DataFrame:
+    """cell_kind, cell_id, value, restored, chain: the cells with wrongly decoded characters, once each.
+    Without restore only cell_kind and cell_id."""
     lines = tokens_of(textlines.select("cell_id", "orig"), "orig")
     fixes, letters = garbled_tokens(lines.groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+    cells = chars.select("cell_id", "text").where(_non_ascii(F.col("text")) & ((F.length("text") > 1) | F.col("text").rlike(_EVIDENCE)))
+    cells = cells.join(broadcast_if_small(_garbled_characters(cells.select("text").distinct(), letters), MAX_BROADCAST_ROWS), "text")
+    if not restore:
+        found = [lines.join(broadcast_if_small(fixes.select("token"), MAX_BROADCAST_ROWS), "token").select(F.lit("textline").alias("cell_kind"), "cell_id"), cells.select(F.lit("char"), "cell_id")]
+        return found[0].union(found[1]).distinct()
     hit = lines.join(broadcast_if_small(fixes, MAX_BROADCAST_ROWS), "token").dropDuplicates(["cell_id", "orig", "token"])
     line = hit.groupBy("cell_id", "orig").agg(F.collect_list(F.struct("token", "fixes")).alias("own"))
 
-    def restore(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def restored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = frozenset(letters) | frozenset(_PUNCTUATION)
         for pdf in batches:
             rows = [_restore_line(v, {o["token"]: [(f["piece"], [(x["original"], x["chains"].tolist()) for x in f["originals"]]) for f in o["fixes"]] for o in own}, known) for v, own in zip(pdf["orig"], pdf["own"])]
@@ -484,11 +490,14 @@ def garbled_cells(textlines: DataFrame, chars: DataFrame) -> DataFrame:
 
     kind = textlines.schema["cell_id"].dataType.simpleString()
     schema = f"cell_kind string, cell_id {kind}, value string, restored string, chain string"
-    lines_out = line.mapInPandas(restore, schema)
+    lines_out = line.mapInPandas(restored, schema)
 
-    # single cells: a cell of several characters that are the garbled form of one
-    cells = chars.select("cell_id", "text").where(_non_ascii(F.col("text")) & ((F.length("text") > 1) | F.col("text").rlike(_EVIDENCE)))
-    texts = cells.select("text").distinct()
+    chars_out = cells.dropDuplicates(["cell_id", "text"])
+    return lines_out.unionByName(chars_out.select(F.lit("char").alias("cell_kind"), "cell_id", F.col("text").alias("value"), "restored", "chain"))
+
+
+def _garbled_characters(texts: DataFrame, letters: tuple[str, ...]) -> DataFrame:
+    """text, restored, chain of the distinct texts that are the garbled form of one character; materialised."""
 
     def by_letter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = _single_forms(letters)
@@ -502,9 +511,7 @@ def garbled_cells(textlines: DataFrame, chars: DataFrame) -> DataFrame:
                     rows.append((text, text, None))
             yield pd.DataFrame(rows, columns=["text", "restored", "chain"])
 
-    found = texts.mapInPandas(by_letter, "text string, restored string, chain string")
-    chars_out = cells.join(broadcast_if_small(cut_lineage(found), MAX_BROADCAST_ROWS), "text").dropDuplicates(["cell_id", "text"])
-    return lines_out.unionByName(chars_out.select(F.lit("char").alias("cell_kind"), "cell_id", F.col("text").alias("value"), "restored", "chain"))
+    return cut_lineage(texts.mapInPandas(by_letter, "text string, restored string, chain string"))
 
 
 __all__ = ["chain_names", "chains", "clean_words", "garbled", "garbled_cells", "garbled_tokens", "looks_clean", "tokens_of", "undo"]

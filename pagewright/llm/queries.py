@@ -20,16 +20,12 @@ from pagewright.session import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _garbled(spark: SparkSession, sf: str) -> DataFrame:
-    return garbled_cells(table(spark, sf, "textline_cells"), table(spark, sf, "char_cells"))
-
-
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _garbled(spark, sf).select("cell_kind", "cell_id")
+    return garbled_cells(table(spark, sf, "textline_cells"), table(spark, sf, "char_cells"), restore=False)
 
 
 def p1_restored(spark: SparkSession, sf: str) -> DataFrame:
-    return _garbled(spark, sf)
+    return garbled_cells(table(spark, sf, "textline_cells"), table(spark, sf, "char_cells"))
 
 
 def p2_turns(spark: SparkSession, sf: str) -> DataFrame:

@@ -22,6 +22,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """df parted by keys into as many partitions as shuffles have, which adaptive execution leaves as they are: for
+    groups whose work, not whose bytes, must be spread."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names; a temporary one only where none is named and the master is local."""
     sc = spark.sparkContext

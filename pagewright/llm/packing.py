@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.tokens import VOCABULARY, token_sizes
+from pagewright.session import by_key, cut_lineage
 
 CAPACITY, BLOCK = 2048, 256
 
@@ -89,8 +90,9 @@ def pieces_of(sized: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def containers(documents: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, vocabulary: str = VOCABULARY) -> DataFrame:
     """container_id, doc_id, piece_no, token_start, token_end, n_tokens: one row per document or piece.
     One shuffle, of the ids and sizes only."""
-    blocks = max(1, -(-documents.count() // block))
-    pieces = pieces_of(token_sizes(documents, vocabulary=vocabulary), capacity)
+    sized = cut_lineage(token_sizes(documents, vocabulary=vocabulary))  # ids and sizes: texts are read and tokenized once
+    blocks = max(1, -(-sized.count() // block))
+    pieces = pieces_of(sized, capacity)
     pieces = pieces.withColumn("block", F.when(F.col("n_tokens") < capacity, F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(blocks))))
     full = pieces.where("block is null").select(F.concat_ws("-", F.lit("full"), "doc_id", "piece_no").alias("container_id"), "doc_id", "piece_no", "token_start", "token_end", "n_tokens")
 
@@ -103,5 +105,5 @@ def containers(documents: DataFrame, capacity: int = CAPACITY, block: int = BLOC
         return pdf.drop(columns="block").assign(container_id=name)[["container_id", "doc_id", "piece_no", "token_start", "token_end", "n_tokens"]]
 
     kind = pieces.schema["doc_id"].dataType.simpleString()
-    rest = pieces.where("block is not null").groupBy("block").applyInPandas(fill, f"container_id string, doc_id {kind}, piece_no int, token_start bigint, token_end bigint, n_tokens bigint")
+    rest = by_key(pieces.where("block is not null"), "block").groupBy("block").applyInPandas(fill, f"container_id string, doc_id {kind}, piece_no int, token_start bigint, token_end bigint, n_tokens bigint")
     return full.unionByName(rest)

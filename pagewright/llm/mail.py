@@ -54,17 +54,25 @@ def plain(markup: str) -> str:
     return html.unescape(s) if "&" in s else s
 
 
-def text_parts(message: str | None, depth: int = 0) -> list[str]:
-    """The readable text parts of a message or part, in order."""
-    if not message:
-        return []
-    if depth == 0 and message.startswith("From ") and "\n" in message:
-        message = message.split("\n", 1)[1]
-    if depth == 0 and message[:1] == ">" and message.startswith(">From ") and "\n" in message:
+def text_parts(message: str | None) -> list[str]:
+    """The readable text parts of a message, in order, however deep they are nested."""
+    out: list[str] = []
+    left = [(message, True)] if message else []
+    while left:
+        own, outer = left.pop()
+        inner, texts = _opened(own, outer)
+        out += texts
+        left += [(p, False) for p in reversed(inner) if p]
+    return out
+
+
+def _opened(message: str, outer: bool) -> tuple[list[str], list[str]]:
+    """The parts of a message or part, or its own text."""
+    if outer and message.startswith(("From ", ">From ")) and "\n" in message:
         message = message.split("\n", 1)[1]
     m = _BREAK.search(message)
     head, body = (message[: m.start()], message[m.end() :]) if m else (message, "")
-    if depth and message[:1] in "\r\n":  # a part without headers
+    if not outer and message[:1] in "\r\n":  # a part without headers
         head, body = "", message
     elif not _HEADER.match(head.lstrip()):
         head, body = "", message
@@ -72,21 +80,21 @@ def text_parts(message: str | None, depth: int = 0) -> list[str]:
     how = _FIELD["content-transfer-encoding"].search(head)
     of = kind.group(1) if kind else "text/plain"
     low = of.lower()
-    if low.startswith("multipart/") and depth < 10:
+    if low.startswith("multipart/"):
         b = _BOUNDARY.search(of)
         if b:
             mark = "--" + (b.group(1) or b.group(2))
             parts = re.split(rf"(?:^|\r?\n){re.escape(mark)}(?:--)?[ \t]*(?=\r?\n|\Z)", body)
             if len(parts) > 1:
-                return [t for p in parts[1:] for t in text_parts(p[1:] if p[:1] == "\n" else p[2:] if p[:2] == "\r\n" else p, depth + 1)]
-        return [body]
-    if low.startswith("message/") and depth < 10:
-        return text_parts(body, depth + 1)
+                return [p[1:] if p[:1] == "\n" else p[2:] if p[:2] == "\r\n" else p for p in parts[1:]], []
+        return [], [body]
+    if low.startswith("message/"):
+        return [body], []
     if not low.startswith("text/"):
-        return []
+        return [], []
     charset = _CHARSET.search(of)
     body = _undo(body, how.group(1).strip().lower().strip('"') if how else "", charset.group(1) if charset else None)
-    return [plain(body) if low.startswith("text/html") else body] if body.strip() else []
+    return [], ([plain(body) if low.startswith("text/html") else body] if body.strip() else [])
 
 
 _QUOTE = re.compile(r"^[ \t]*(?:[>|][ \t]?)+", re.M)

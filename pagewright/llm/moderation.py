@@ -7,8 +7,8 @@ mention of a group weigh more together than apart, and a harmful word among harm
 
 It is trained here, on seed sentences and on at most MAX_LABELLED labelled documents (a bounded sample by hash of
 doc_id, of texts up to MAX_CHARS). Labels are of documents and err, so a labelled document teaches through sentences:
-of a bad one, those that the machine finds bad or that hold what no clean document holds; of a clean one, those that
-the seeds don't contradict. All documents are scored, whole.
+of a bad one, those that the machine finds bad, or that hold what far fewer clean documents hold, by share; of a clean
+one, those that the seeds don't contradict. All documents are scored, whole.
 
 Defined results: null and empty texts and messages without readable text score 0. Labels that are null are left out;
 of several, the majority counts, a tie as clean. Without labels the seeds alone teach. Repeated rows are scored each.
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from pagewright.llm import seeds
 from pagewright.llm.canonical import canonical
 from pagewright.llm.mail import sentences, text_parts
 
-MAX_LABELLED, MAX_CHARS = 2000, 200_000
+MAX_LABELLED, MAX_CHARS = 5000, 200_000
 BITS, FACTORS, THRESHOLD = 20, 8, 0.6
 #: Words in a stretch that is scored at once; longer sentences are scored in overlapping stretches.
 STRETCH = 40
@@ -59,7 +59,7 @@ def _undisguise(word: str) -> str:
                 if all(a == b or a in "*#@$%&!" for a, b in zip(word, w)):
                     return w
             letters = _MASK.sub("", word)
-            return letters if letters in seeds.DISGUISED else "*masked*" if letters.isalpha() and len(letters) < len(word) and len(word) < 16 else word
+            return letters if letters in seeds.DISGUISED else "*masked*" if letters.isalpha() and len(letters) < len(word) else word
         else:
             for w in (_MASK.sub("", word) if _MASK.search(word) else word, word.translate(_LEET)):
                 if w in seeds.DISGUISED:
@@ -210,25 +210,37 @@ def train(labelled: list[tuple[str, int]]) -> Machine:
     for text, y in labelled:
         own = [w for s in _document(text) for w in stretches(words_of(s))]
         docs.append((y, own, [terms_of(w) for w in own]))
-    # what clean documents hold: pairs of neighbouring words, by documents
-    clean_pairs: Counter = Counter()
+    # pairs of neighbouring words by how many bad and clean documents hold them: new are those that hardly a clean one
+    # holds, telling those that bad ones hold so often that it is no accident
+    held: tuple[Counter, Counter] = (Counter(), Counter())
     for y, own, _ in docs:
-        if y == 0:
-            clean_pairs.update({p for w in own for p in zip(w, w[1:])})
-    new = [[np.mean([clean_pairs[p] < 2 for p in zip(w, w[1:])]) if len(w) > 4 and not any(c.isdigit() or c == "@" for x in w for c in x) else 0.0 for w in own] for _, own, _ in docs]
+        held[y].update({p for w in own for p in zip(w, w[1:])})
+    clean, bad_ = (max(1, sum(y == k for y, _, _ in docs)) for k in (0, 1))
+
+    def share(test: Callable[[tuple], bool], w: list[str]) -> float:
+        return float(np.mean([test(p) for p in zip(w, w[1:])])) if len(w) > 4 and not any(c.isdigit() or c == "@" for x in w for c in x) else 0.0
+
+    def is_new(p: tuple) -> bool:
+        return held[0][p] / clean < 0.2 * held[1][p] / bad_
+
+    def is_telling(p: tuple) -> bool:
+        return (held[1][p] - 1.5 * held[1][p] ** 0.5) / bad_ > 2 * (held[0][p] + 1) / clean
+
+    new = [[share(is_new, w) for w in own] for _, own, _ in docs]
+    telling = [[share(is_telling, w) if y else 0.0 for w in own] for y, own, _ in docs]
     machine = fit(seed_examples)
     for _ in range(2):
         good: dict[tuple, list] = {}
         bad: dict[tuple, list] = {}
-        for (y, own, terms), fresh in zip(docs, new):
+        for (y, own, terms), fresh, tells in zip(docs, new, telling):
             if not terms:
                 continue
             scores = machine.scores(terms)
-            for w, t, s, f in zip(own, terms, scores, fresh):
+            for w, t, s, f, g in zip(own, terms, scores, fresh, tells):
                 key = tuple(w)
                 if y == 0 and (s < 0.9 or f < 0.6):
                     good.setdefault(key, [t, 0])[1] += 1
-                elif y == 1 and len(w) > 4 and (s > 0.8 and f > 0.5 or f >= 0.8 and s > 0.05 and f >= max(fresh) - 1e-9):
+                elif y == 1 and len(w) > 4 and (s > 0.8 and f > 0.5 or f >= 0.8 and s > 0.05 and f >= max(fresh) - 1e-9 or g >= 0.4 and g >= max(tells) - 1e-9):
                     bad.setdefault(key, [t, 0])[1] += 1
         examples = [(t, 0, min(n, 3) ** 0.5) for k, (t, n) in good.items() if k not in bad or n > 2 * bad[k][1]]
         examples += [(t, 1, min(n, 3) ** 0.5) for k, (t, n) in bad.items() if k not in good or good[k][1] <= 2 * n]

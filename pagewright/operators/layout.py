@@ -7,9 +7,9 @@ tests are whole-array operations.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from pagewright.operators.grouped import per_group
 from pagewright.operators.spatial import Forest
 
 #: Labels in the order of the detector's classes (fixed values).
@@ -64,7 +64,7 @@ class Page:
         return sorted(members, key=lambda m: self.index[m])
 
     def _surer(self, positions: list[int]) -> list[int]:
-        return [p for p in positions if self.sure[p] >= CONFIDENCE.get(self.labels[p], 0.0)]
+        return [p for p in positions if self.sure[p] >= CONFIDENCE.get((self.labels[p] or "").lower(), 0.0)]
 
     def _take_cells(self, own: list[int]) -> None:
         for p in own:
@@ -213,18 +213,18 @@ def postprocess(clusters: DataFrame, cells: DataFrame, pages: DataFrame, on: lis
     p = pages.select(*on, F.lit("p").alias("kind"), F.lit(0).alias("pos"), n("int").alias("id"), n("bigint").alias("index"), n("string").alias("label"), n("string").alias("text"), F.lit(0.0).alias("l"), F.lit(0.0).alias("b"), F.col("page_width").alias("r"), F.col("page_height").alias("t"), n("double").alias("confidence"))
     every = a.unionByName(b).unionByName(p).select(*on, *kinds)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", kind="stable")
-        c, t, q = (pdf[pdf["kind"] == k] for k in "ctp")
-        box = ["l", "b", "r", "t"]
-        size = float(_area(q[box].to_numpy(float))[0]) if len(q) else 0.0
-        page = Page(c["id"].tolist(), c["label"].tolist(), c[box].to_numpy(float), c["confidence"].to_numpy(float), t[box].to_numpy(float), t["index"].to_numpy(), t["text"].tolist(), t["confidence"].fillna(0.0).to_numpy(float), size, **options)
-        final = page.run()
-        rows = [(pos, page.ids[f], page.labels[f], *page.box[f].tolist(), float(page.sure[f]), [int(page.index[m]) for m in page.members[f]], [page.ids[x] for x in page.children.get(f, [])]) for pos, f in enumerate(final)]
-        out = pd.DataFrame(rows, columns=["pos", "id", "label", *box, "confidence", "cells", "children"])
-        for k in reversed(on):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
-
-    keys = ", ".join(f"`{k}` {every.schema[k].dataType.simpleString()}" for k in on)
-    return every.groupBy(*on).applyInPandas(one, f"{keys}, {_OUT}")
+    def work(page: dict) -> tuple:
+        kind = np.array(page["kind"], dtype=object)
+        c, t, q = (np.flatnonzero(kind == k) for k in "ctp")
+        pick = lambda name, rows: [page[name][i] for i in rows.tolist()]
+        box = np.column_stack([page[k] for k in "lbrt"]).astype(float)
+        size = float(_area(box[q])[0]) if len(q) else 0.0
+        sure = np.asarray(page["confidence"], float)
+        own = Page(pick("id", c), pick("label", c), box[c], sure[c], box[t], np.array(pick("index", t)), pick("text", t), np.nan_to_num(sure[t]), size, **options)
+        final = own.run()
+        ids = [own.ids[f] for f in final]
+        boxes = own.box[final] if final else np.zeros((0, 4))
+        cells_, children = [[int(own.index[m]) for m in own.members[f]] for f in final], [[own.ids[x] for x in own.children.get(f, [])] for f in final]
+        return list(range(len(final))), ids, [own.labels[f] for f in final], *boxes.T, own.sure[final] if final else [], cells_, children
+
+    return per_group(every, on, ["kind", "pos"], work, _OUT, keep=on)

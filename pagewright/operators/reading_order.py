@@ -13,26 +13,49 @@ from __future__ import annotations
 from functools import cmp_to_key
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from pagewright.operators.grouped import per_group
+
 #: Share of the page's width by which an element may grow to each side, and slack of the search (fixed values).
 GROW, SLACK = 0.15, 0.1
 
 
+#: Elements whose relation to all others is drawn at once.
+STRIP = 512
+
+
 def _relation(box: np.ndarray) -> tuple[list[list[int]], list[list[int]]]:
-    """For each element those above it and those below it, in input order."""
+    """For each element those above it and those below it, in input order. An element between i and j is below i, above j
+    and beside none of them sideways; so for i only the highest element below counts, and for j the lowest above."""
     l, b, r, t = box.T  # noqa: E741
-    side = (l[:, None] < r[None]) & (l[None] < r[:, None])
-    higher = b[:, None] >= t[None]  # i strictly above j
-    reach = (l[:, None] < (r + SLACK)[None]) & ((l - SLACK)[None] < r[:, None]) & (t[:, None] > t[None])
-    edge = reach & higher & side
-    np.fill_diagonal(edge, False)
-    # what stands between i and j: below i, above j, overlapping one of them sideways
-    below = (higher & (b[None] < b[:, None])).astype(np.float32)
-    over = (higher & (t[None] < t[:, None])).astype(np.float32)
-    edge &= (below * side) @ over + below @ (over * side) == 0
-    return [np.flatnonzero(c).tolist() for c in edge.T], [np.flatnonzero(c).tolist() for c in edge]
+    n = len(box)
+    flat = t <= b  # an element without height stands between others only if it is strictly so
+    strips = [slice(i, min(n, i + STRIP)) for i in range(0, n, STRIP)]
+    top = [np.full(n, -np.inf), np.full(n, -np.inf)]  # of those below i: the highest lower edge, by flat
+    low = [np.full(n, np.inf), np.full(n, np.inf)]  # of those above j: the lowest upper edge, by flat
+    edges = []
+    for s in strips:
+        side = (l[s, None] < r[None]) & (l[None] < r[s, None])
+        higher = b[s, None] >= t[None]  # i of the strip strictly above j
+        below = higher & side & (b[None] < b[s, None])
+        over = higher & side & (t[None] < t[s, None])
+        for kind in (0, 1):
+            k = flat if kind else ~flat
+            top[kind][s] = np.where(below & k[None], b[None], -np.inf).max(axis=1)
+            if k[s].any():
+                low[kind] = np.minimum(low[kind], np.where(over & k[s, None], t[s, None], np.inf).min(axis=0))
+        reach = (l[s, None] < (r + SLACK)[None]) & ((l - SLACK)[None] < r[s, None]) & (t[s, None] > t[None])
+        i, j = np.nonzero(reach & higher & side)
+        edges.append((i + s.start, j))
+    i, j = (np.concatenate(x) for x in zip(*edges))
+    free = (i != j) & (top[0][i] < t[j]) & (top[1][i] <= t[j]) & (low[0][j] > b[i]) & (low[1][j] >= b[i])
+    up: list[list[int]] = [[] for _ in range(n)]
+    down: list[list[int]] = [[] for _ in range(n)]
+    for x, y in zip(i[free].tolist(), j[free].tolist()):
+        down[x].append(y)
+        up[y].append(x)
+    return up, down
 
 
 def _sorted(members: list[int], box: np.ndarray) -> list[int]:
@@ -88,21 +111,19 @@ def order_of(box: np.ndarray, page_width: float) -> list[int]:
 
 def reading_order(elements: DataFrame, on: list[str]) -> DataFrame:
     """elements with order, their place on the page from 0. elements: on, pos, label, l, b, r, t, page_width."""
-    own = elements.select(*on, "pos", "label", "l", "b", "r", "t", "page_width")
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", kind="stable").reset_index(drop=True)
-        place = np.zeros(len(pdf), dtype="int32")
+    def work(page: dict) -> tuple:
+        box = np.column_stack([page[k] for k in "lbrt"]).astype(float)
+        label = np.array([x or "" for x in page["label"]], dtype=object)
+        place = np.zeros(len(box), dtype="int32")
         at = 0
-        label = pdf["label"].fillna("")
-        for part in (label == "page_header", ~label.isin(["page_header", "page_footer"]), label == "page_footer"):
+        header, footer = label == "page_header", label == "page_footer"
+        for part in (header, ~(header | footer), footer):
             rows = np.flatnonzero(part)
             if len(rows):
-                for i in order_of(pdf.loc[rows, ["l", "b", "r", "t"]].to_numpy(float), float(pdf["page_width"].iloc[rows[0]])):
-                    place[rows[i]] = at
-                    at += 1
-        return pdf[[*on, "pos"]].assign(order=place)
-
-    keys = ", ".join(f"`{k}` {own.schema[k].dataType.simpleString()}" for k in [*on, "pos"])
-    placed = own.groupBy(*on).applyInPandas(one, f"{keys}, order int")
-    return elements.join(placed, [*on, "pos"])
+                own = rows[order_of(box[rows], float(page["page_width"][rows[0]]))]
+                place[own] = np.arange(at, at + len(own))
+                at += len(own)
+        return (place,)
+
+    return per_group(elements, on, ["pos"], work, "order int")

@@ -8,13 +8,14 @@ and keeps a pair in the tile of its common lower left corner only, so no pair co
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import geometry as g
+from pagewright.operators.grouped import per_group
 
 
 def overlap_join(a: DataFrame, b: DataFrame, on: list[str], left: str = "a", right: str = "b", condition: Column | None = None) -> DataFrame:
@@ -23,26 +24,48 @@ def overlap_join(a: DataFrame, b: DataFrame, on: list[str], left: str = "a", rig
     return both if condition is None else both.where(condition)
 
 
+#: Tiles or buckets that a row may stand in; what is larger goes another way.
+MOST_TILES = 64
+
+
 def grid_join(a: DataFrame, b: DataFrame, on: list[str], size: float, left: str = "a", right: str = "b") -> DataFrame:
-    """overlap_join by tiles of the given size: for pages, or whole planes, with too many boxes for one key."""
+    """overlap_join by tiles of the given size: for pages, or whole planes, with too many boxes for one key. A box that
+    touches more than MOST_TILES tiles isn't exploded: it meets the other side by an overlap_join of its own."""
+
+    def spans(box: str) -> tuple[Column, Column]:
+        part = lambda lo, hi: F.floor(F.col(box)[hi] / size) - F.floor(F.col(box)[lo] / size) + 1
+        return part("l", "r"), part("b", "t")
+
+    def is_small(box: str) -> Column:
+        w, h = spans(box)
+        return F.coalesce((w <= MOST_TILES) & (h <= MOST_TILES) & (w * h <= MOST_TILES), F.lit(False))
 
     def tiles(box: str) -> Column:
         span = lambda lo, hi: F.sequence(F.floor(F.col(box)[lo] / size), F.greatest(F.floor(F.col(box)[lo] / size), F.floor(F.col(box)[hi] / size)))
         return F.flatten(F.transform(span("l", "r"), lambda x: F.transform(span("b", "t"), lambda y: F.struct(x.alias("x"), y.alias("y")))))
 
-    ta = a.withColumn("_tile", F.explode(tiles(left)))
-    tb = b.withColumn("_tile", F.explode(tiles(right)))
+    ta = a.where(is_small(left)).withColumn("_tile", F.explode(tiles(left)))
+    tb = b.where(is_small(right)).withColumn("_tile", F.explode(tiles(right)))
     both = ta.join(tb, [*on, "_tile"]).where(g.overlaps(F.col(left), F.col(right)))
     corner = F.struct(F.floor(F.greatest(F.col(left)["l"], F.col(right)["l"]) / size).alias("x"), F.floor(F.greatest(F.col(left)["b"], F.col(right)["b"]) / size).alias("y"))
-    return both.where(F.col("_tile") == corner).drop("_tile")
+    both = both.where(F.col("_tile") == corner).drop("_tile")
+    large = overlap_join(a.where(~is_small(left)), b, on, left, right).unionByName(overlap_join(a.where(is_small(left)), b.where(~is_small(right)), on, left, right))
+    return both.unionByName(large)
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, on: list[str], point: str, low: str, high: str, width: float) -> DataFrame:
     """Rows of intervals that hold a point, ends included. Both sides meet in buckets of the given width, which should be
-    about the intervals' usual length; a long interval stands in all buckets it touches."""
-    p = points.withColumn("_bucket", F.floor(F.col(point) / width))
-    i = intervals.where(F.col(low) <= F.col(high)).withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
-    return p.join(i, [*on, "_bucket"]).where((F.col(point) >= F.col(low)) & (F.col(point) <= F.col(high))).drop("_bucket")
+    about the intervals' usual length. An interval of more than MOST_TILES buckets stands instead in the at most
+    MOST_TILES of a width that is larger by a power of MOST_TILES, and meets the points at that level."""
+    usable = intervals.where(F.col(low) <= F.col(high))
+    length = (F.col(high) - F.col(low)) / width
+    level = F.when(length < MOST_TILES - 1, 0).otherwise(F.ceil(F.log(float(MOST_TILES), F.greatest(length, F.lit(1.0)) / (MOST_TILES - 2)))).cast("int")
+    i = usable.withColumn("_level", level).withColumn("_width", F.lit(width) * F.pow(F.lit(float(MOST_TILES)), F.col("_level")))
+    i = i.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(low) / F.col("_width")), F.floor(F.col(high) / F.col("_width"))))).drop("_width")
+    levels = [r["_level"] for r in i.select("_level").distinct().collect()]  # a few: they grow with the logarithm of the longest
+    p = points.withColumn("_level", F.explode(F.array(*[F.lit(x) for x in sorted(levels)]).cast("array<int>")))
+    p = p.withColumn("_bucket", F.floor(F.col(point) / (F.lit(width) * F.pow(F.lit(float(MOST_TILES)), F.col("_level")))))
+    return p.join(i, [*on, "_level", "_bucket"]).where((F.col(point) >= F.col(low)) & (F.col(point) <= F.col(high))).drop("_bucket", "_level")
 
 
 def best_match(cells: DataFrame, clusters: DataFrame, on: list[str], cell_id: str, order: str, cell_box: str = "a", cluster_box: str = "b", least: float = 0.2) -> DataFrame:
@@ -125,17 +148,17 @@ def overlapping_pairs(l: np.ndarray, b: np.ndarray, r: np.ndarray, t: np.ndarray
 def components(df: DataFrame, on: list[str], id: str, box: str = "a") -> DataFrame:
     """on, id, component: the connected components of overlapping boxes of each page; a component is named by its least id.
     Pages bound the groups."""
-    own = df.select(*on, id, *[F.col(box)[k].alias(f"_{k}") for k in "lbrt"])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[: len(on) + 1]) + f", component {own.schema[id].dataType.simpleString()}"
+    own = df.select(*on, id, *[F.col(box)[k].cast("double").alias(f"_{k}") for k in "lbrt"])
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = Forest(len(pdf))
-        for i, j in overlapping_pairs(*[pdf[f"_{k}"].to_numpy(float) for k in "lbrt"]):
+    def work(page: dict) -> tuple:
+        ids = page[id]
+        sets = Forest(len(ids))
+        for i, j in overlapping_pairs(*[page[f"_{k}"] for k in "lbrt"]):
             sets.union(i, j)
-        ids = pdf[id].to_numpy()
-        name = np.empty(len(pdf), dtype=object)
-        for members in sets.groups():
-            name[members] = min(ids[m] for m in members)
-        return pdf[[*on, id]].assign(component=name)
+        first: dict[int, Any] = {}
+        roots = [sets.find(i) for i in range(len(ids))]  # in the order of ids
+        for r, i in zip(roots, ids):
+            first.setdefault(r, i)
+        return ([first[r] for r in roots],)
 
-    return own.groupBy(*on).applyInPandas(one, schema)
+    return per_group(own, on, [id], work, f"component {own.schema[id].dataType.simpleString()}").select(*on, id, "component")

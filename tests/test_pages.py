@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import geometry as g
 from pagewright.functions.text import document_key, html_encode, number_text, round_half_away, sequence_hash, slug, trim, uri_part, utf16_length
-from pagewright.operators import pipeline
+from pagewright.operators import pipeline, spatial
 from pagewright.operators.layout import Page
 from pagewright.operators.nested import node_tables, page_nodes, read_json
 from pagewright.operators.reading_order import order_of
@@ -221,3 +221,32 @@ def test_relation_against_every_triple():
         low = r.integers(0, 20, (r.integers(1, 14), 2))
         box = np.hstack([low, low + np.stack([r.integers(0, 8, len(low)), r.integers(0, 4, len(low))], 1)]).astype(float)
         assert _relation(box) == plain(box)
+
+
+def test_long_intervals_and_large_boxes_are_not_exploded(spark):
+    """An interval of 1e12 and a box over the whole plane meet everything, in bounded rows."""
+    points = spark.range(500).selectExpr("'k' AS k", "id", "CAST(id AS DOUBLE) AS at")
+    intervals = spark.createDataFrame([("k", 1, 0.0, 1e12), ("k", 2, 10.0, 12.0), ("k", 3, 5.0, 3.0), ("k", 4, 100.0, 100.0 + 10 * 70), ("k", 5, None, 3.0)], "k string, i int, low double, high double")
+    got = sorted((r.i, r.id) for r in spatial.interval_join(points, intervals, ["k"], "at", "low", "high", 1.0).collect())
+    assert got == sorted([(1, x) for x in range(500)] + [(2, x) for x in (10, 11, 12)] + [(4, x) for x in range(100, 500)])
+    box = "struct<l:double,b:double,r:double,t:double>"
+    a = spark.createDataFrame([("p", i, (i * 10.0, 0.0, i * 10.0 + 12, 5.0)) for i in range(40)] + [("p", 99, (-1e12, -1e12, 1e12, 1e12))], f"p string, i int, a {box}")
+    b = spark.createDataFrame([("p", i, (i * 10.0 + 5, 1.0, i * 10.0 + 9, 3.0)) for i in range(40)] + [("p", 99, (-1e9, 2.0, 1e9, 4.0))], f"p string, j int, b {box}")
+    pairs = lambda df: sorted((r.i, r.j) for r in df.collect())
+    assert pairs(spatial.grid_join(a, b, ["p"], 7.0)) == pairs(spatial.overlap_join(a, b, ["p"]))
+
+
+def test_a_page_of_20000_elements():
+    lines = np.array([[50.0 + 260 * c, 10.0 * i, 290.0 + 260 * c, 10.0 * i + 8] for c in (0, 1) for i in range(10_000, 0, -1)])
+    assert order_of(lines, 600.0) == list(range(20_000))
+
+
+def test_groups_over_batches_and_clashing_names(spark):
+    from pagewright.operators.grouped import per_group
+
+    df = spark.range(30_000).selectExpr("CASE WHEN id < 20000 THEN 'hot' WHEN id % 3 = 0 THEN NULL ELSE CAST(id % 500 AS STRING) END AS k", "id", "CAST(id AS DOUBLE) AS n")
+    got = per_group(df, ["k"], ["id"], lambda g: ([len(g["id"])] * len(g["id"]), list(range(len(g["id"])))), "size int, at int")
+    want = {r.k: r.n for r in df.groupBy("k").count().withColumnRenamed("count", "n").collect()}
+    rows = got.collect()
+    assert len(rows) == 30_000 and all(r.size == want[r.k] for r in rows) and sum(r.at == 0 for r in rows) == len(want)
+    assert per_group(df.limit(0), ["k"], ["id"], lambda g: ([],), "x int").count() == 0

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 SUCCEEDED, FAILED, CANCELLED, TIMED_OUT, SKIPPED = "succeeded", "failed", "cancelled", "timedout", "skipped"
 #: Stages of a page conversion in order (fixed values); the last is a cleanup stage.
-STAGES = ("initialize", "load_document", "decode_pages", "apply_ocr", "layout_inference", "layout_postprocess", "reading_order", "transform_pages", "extract_annotations", "extract_table_of_contents", "extract_meta", "unload_document")
+STAGES = ("init_session", "load_document", "decode_pages", "apply_ocr_fallback", "apply_layout_inference", "apply_layout_postprocessing", "apply_reading_order", "transform_pages", "extract_annotations", "extract_table_of_contents", "extract_meta_xml", "unload_document")
 
 
 class Cancelled(Exception):
@@ -125,18 +125,22 @@ def stop_on_failure(runs: DataFrame, batch: str, index: str, status: str = "stat
     return runs.join(first, batch, "left").withColumn(status, F.when(after, SKIPPED).otherwise(F.col(status))).drop("_first")
 
 
-def counts_map(key: Column) -> Column:
-    """A map of counts by key within a group, keys in order; null and blank keys are left out."""
-    kept = F.filter(F.collect_list(key), lambda k: k != "")
-    names = F.array_sort(F.array_distinct(kept))
-    return F.map_from_arrays(names, F.transform(names, lambda n: F.size(F.filter(kept, lambda k: k == n))))
-
-
 def count_by(df: DataFrame, by: list[str], key: str) -> DataFrame:
-    """by, key, n: counts per key, null and blank keys left out. The distributed form of counts_map."""
+    """by, key, n: counts per key, null and blank keys left out."""
     return df.where(F.col(key).isNotNull() & (F.trim(key) != "")).groupBy(*by, key).agg(F.count(F.lit(1)).alias("n"))
 
 
+def count_maps(runs: DataFrame, diagnostics: DataFrame, batch: str = "batch_run_id", run: str = "run_id") -> DataFrame:
+    """batch and four maps of counts: by status, pipeline status, diagnostic code and stage. Counted before gathering, so a
+    map is as large as its keys are many."""
+    noted = diagnostics.join(runs.select(run, batch), run)
+    out = runs.select(batch).distinct()
+    for name, df, key in (("status_counts", runs, "status"), ("pipeline_status_counts", runs, "pipeline_status"), ("code_counts", noted, "code"), ("stage_counts", noted, "stage_name")):
+        entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), F.col("n").alias("value")))))
+        out = out.join(count_by(df, [batch], key).groupBy(batch).agg(entries.alias(name)), batch, "left").withColumn(name, F.coalesce(F.col(name), F.create_map().cast("map<string,bigint>")))
+    return out
+
+
 def batch_summary(runs: DataFrame, diagnostics: DataFrame, batch: str = "batch_run_id", run: str = "run_id") -> DataFrame:
     """One row per batch: ten counters. runs and diagnostics meet after both are aggregated by run and batch."""
     per_run = diagnostics.groupBy(run).agg(F.count(F.lit(1)).alias("_d"), F.count_if("recoverable").alias("_r"))
@@ -301,4 +305,4 @@ def transformed(pages: DataFrame, transform: Callable[[DataFrame], DataFrame | N
     return out
 
 
-__all__ = ["artifact_bundle", "batch_summary", "convert_each", "count_by", "counts_map", "provider_chain", "run_layout", "run_ocr", "run_stages", "stage_diagnostics", "stop_on_failure", "transformed", "write_bundle"]
+__all__ = ["artifact_bundle", "batch_summary", "convert_each", "count_by", "count_maps", "provider_chain", "run_layout", "run_ocr", "run_stages", "stage_diagnostics", "stop_on_failure", "transformed", "write_bundle"]

@@ -180,7 +180,8 @@ def test_batches(spark, tmp_path):
     assert not (out / "stale").exists() and (out / "0000-b_file" / "summary.json").exists()
     with pytest.raises(ValueError):
         pipeline.write_bundle(files.withColumn("relative_path", F.lit("../x")), str(out))
-    assert runs.groupBy().agg(pipeline.counts_map(F.col("status")).alias("m")).first()["m"] == {"failed": 1, "skipped": 1}
+    maps = pipeline.count_maps(runs.withColumn("pipeline_status", F.lit(" ")), d).first()
+    assert (maps.status_counts, maps.pipeline_status_counts, maps.code_counts, maps.stage_counts) == ({"failed": 1, "skipped": 1}, {}, {"stage_failed": 1, "batch_document_skipped": 1}, {"decode": 1})
 
 
 def test_nodes(spark):

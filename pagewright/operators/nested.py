@@ -17,14 +17,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Arrays of a page and their names in an envelope's payload.
 ARRAYS = {"char_cells": "cells", "word_cells": "word_cells", "textline_cells": "textline_cells", "shapes": "shapes", "bitmap_resources": "images", "widgets": "widgets", "hyperlinks": "hyperlinks"}
-#: Members of an element that have tables of their own; points has one row per entry.
-PARTS = {"char_cells": "source", "word_cells": "source", "textline_cells": "source", "bitmap_resources": "image", "shapes": "points"}
+#: Arrays that an envelope doesn't have beside its payloads.
+PAGE_ARRAYS = ("char_cells", "textline_cells", "shapes", "bitmap_resources")
+#: Members of an element that have tables of their own, and theirs; a list's has one row per entry.
+_CELL: dict = {"source": {}, "rect": {}, "rgba": {}}
+PARTS: dict[str, dict] = {
+    "char_cells": _CELL,
+    "word_cells": _CELL,
+    "textline_cells": _CELL,
+    "bitmap_resources": {"image": {"size": {}}, "rect": {}},
+    "shapes": {"points": {}, "dash_array": {}, "rgb_stroking": {}, "rgb_filling": {}},
+    "widgets": {"rect": {}},
+    "hyperlinks": {"rect": {}},
+}
+LISTS = ("points", "dash_array")
+#: Columns of the tables, by the last name of their path: strings unless given.
+TYPES = {
+    "cell": {"index": "bigint", "text": "string", "orig": "string", "text_direction": "string", "confidence": "double", "from_ocr": "boolean", "rendering_mode": "bigint", "widget": "boolean", "font_key": "string", "font_name": "string"},
+    "source": {"start_time": "double", "end_time": "double", "voice": "string"},
+    "shape": {"index": "bigint", "parent_id": "bigint", "coord_origin": "string", "has_graphics_state": "boolean", "line_width": "double", "miter_limit": "double", "line_cap": "bigint", "line_join": "bigint", "dash_phase": "double", "flatness": "double"},
+    "bitmap": {"index": "bigint", "uri": "string", "mode": "string"},
+    "image": {"mimetype": "string", "dpi": "bigint", "uri": "string"},
+    "size": {"width": "double", "height": "double"},
+    "rect": {**{f"r_{a}{i}": "double" for i in range(4) for a in "xy"}, "coord_origin": "string"},
+    "colour": {k: "bigint" for k in "rgba"},
+    "widget": {"index": "bigint", "widget_text": "string", "widget_description": "string", "widget_field_name": "string", "widget_field_type": "string"},
+    "hyperlink": {"index": "bigint", "uri": "string"},
+}
+_TYPE_OF = {"char_cells": "cell", "word_cells": "cell", "textline_cells": "cell", "shapes": "shape", "bitmap_resources": "bitmap", "widgets": "widget", "hyperlinks": "hyperlink", "rgba": "colour", "rgb_stroking": "colour", "rgb_filling": "colour"}
 
 _FIELDS = [("path", pa.string()), ("pos", pa.int64()), ("sub_pos", pa.int64()), ("pre", pa.int64()), ("post", pa.int64()), ("depth", pa.int32()), ("parent_pre", pa.int64()), ("value", pa.string())]
 _TYPES = [T.StructField("path", T.StringType()), T.StructField("pos", T.LongType()), T.StructField("sub_pos", T.LongType()), T.StructField("pre", T.LongType()), T.StructField("post", T.LongType()), T.StructField("depth", T.IntegerType()), T.StructField("parent_pre", T.LongType()), T.StructField("value", T.StringType())]
@@ -100,7 +126,7 @@ def payload(page: object) -> tuple[dict, bool] | None:
     """The object that holds the arrays, and whether it is an envelope's."""
     if not isinstance(page, dict):
         return None
-    if ("original" in page or "sanitized" in page) and not any(k in page for k in ARRAYS):
+    if ("original" in page or "sanitized" in page) and not any(k in page for k in PAGE_ARRAYS):
         own = page.get("original")
         own = page.get("sanitized") if own is None else own
         return (own, True) if isinstance(own, dict) else None
@@ -137,8 +163,8 @@ def _text(v: object) -> str:
         return ""
 
 
-def page_nodes(text: str | None, values: bool = True) -> list[tuple]:
-    """(path, pos, sub_pos, pre, post, depth, parent_pre, value) of the nodes of a page that have tables."""
+def page_nodes(text: str | None, values: bool = True, paths: frozenset[str] | None = None) -> list[tuple]:
+    """(path, pos, sub_pos, pre, post, depth, parent_pre, value) of the nodes of a page that have tables, or of these paths."""
     page = read_json(text)
     own = payload(page)
     if own is None:
@@ -156,6 +182,40 @@ def page_nodes(text: str | None, values: bool = True) -> list[tuple]:
             at += post[at] - at + depth[at] + 1
         return found
 
+    def add(path: str, rows: list[tuple], parents: list[tuple]) -> None:
+        """rows (visit, value, sub_pos) below parents (visit, pos), each in the order of visits: a row lies within the last
+        parent that begins before it, if its interval does."""
+        begin = np.array([pre[a] for a, _ in parents])
+        owner = np.searchsorted(begin, np.array([pre[a] for a, _, _ in rows]), side="right") - 1
+        for (at, v, sub), o in zip(rows, owner):
+            parent, pos = parents[o]
+            if post[at] < post[parent]:
+                out.append((path, pos, sub, pre[at], post[at], depth[at], pre[parent], _text(v) if values else None))
+
+    def parts_of(path: str, parts: dict, parents: list[tuple]) -> None:
+        """The tables of the members of parents (visit, pos, value)."""
+        found: dict[str, list[tuple]] = {}
+        for at, pos, item in parents:
+            if not isinstance(item, dict) or not any(item.get(p) is not None for p in parts):
+                continue
+            for name, kid in zip(item, children(item, at)):
+                v = item[name]
+                if name not in parts or v is None:
+                    continue
+                rows = found.setdefault(name, [])
+                if name not in LISTS:
+                    rows.append((kid, v, -1, pos))
+                elif isinstance(v, list) and (name != "points" or not (v and all(isinstance(x, (int, float)) for x in v))):
+                    rows += [(a, x, i, pos) for i, (x, a) in enumerate(zip(v, children(v, kid)))]
+                else:  # a lone entry
+                    rows.append((kid, v, 0, pos))
+        for name, rows in found.items():
+            own_path = f"{path}.{name}"
+            if paths is None or own_path in paths:
+                add(own_path, [r[:3] for r in rows], [p[:2] for p in parents])
+            if parts[name]:
+                parts_of(own_path, parts[name], [(a, pos, v) for a, v, _, pos in rows])
+
     at_body = visit[id(body)]
     members = dict(zip(body, children(body, at_body)))
     for path, inner in ARRAYS.items():
@@ -164,38 +224,20 @@ def page_nodes(text: str | None, values: bool = True) -> list[tuple]:
         if found is None:
             continue
         me = members[name]
-        lone = not isinstance(found, list)
-        items, places = ([found], [me]) if lone else (found, children(found, me))
-        parent_pre, parent_post, parent_pos = [], [], []
-        parts: list[tuple] = []
-        part = PARTS.get(path)
-        for pos, (item, at) in enumerate(zip(items, places)):
-            if item is None:
-                continue
-            out.append((path, pos, -1, pre[at], post[at], depth[at], pre[at_body], _text(item) if values else None))
-            parent_pre.append(pre[at])
-            parent_post.append(post[at])
-            parent_pos.append(pos)
-            if part and isinstance(item, dict) and item.get(part) is not None:
-                kid = dict(zip(item, children(item, at)))[part]
-                v = item[part]
-                if part != "points":
-                    parts.append((-1, kid, v))
-                elif isinstance(v, list) and not (v and all(isinstance(x, (int, float)) for x in v)):
-                    parts.extend((i, a, x) for i, (x, a) in enumerate(zip(v, children(v, kid))))
-                else:  # a lone point
-                    parts.append((0, kid, v))
-        if parts:  # each part lies within the last parent that begins before it
-            begin = np.array([pre[a] for _, a, _ in parts])
-            owner = np.searchsorted(np.array(parent_pre), begin, side="right") - 1
-            for (sub, at, v), o in zip(parts, owner):
-                if post[at] < parent_post[o]:
-                    out.append((f"{path}.{part}", parent_pos[o], sub, pre[at], post[at], depth[at], parent_pre[o], _text(v) if values else None))
+        items, places = (found, children(found, me)) if isinstance(found, list) else ([found], [me])
+        parents = [(at, pos, item) for pos, (item, at) in enumerate(zip(items, places)) if item is not None]
+        if paths is None or path in paths:
+            out += [(path, pos, -1, pre[at], post[at], depth[at], pre[at_body], _text(item) if values else None) for at, pos, item in parents]
+        parts = {n: p for n, p in PARTS[path].items() if paths is None or any(x.startswith(f"{path}.{n}") for x in paths)}
+        if parts and parents:
+            parts_of(path, parts, parents)
     return out
 
 
-def node_tables(df: DataFrame, record_id: str = "record_id", page_json: str = "page_json", values: bool = True) -> DataFrame:
-    """record_id, path, pos, sub_pos, pre, post, depth, parent_pre, value: one row per node that has a table. No shuffle."""
+def node_tables(df: DataFrame, record_id: str = "record_id", page_json: str = "page_json", values: bool = True, paths: tuple[str, ...] | None = None) -> DataFrame:
+    """record_id, path, pos, sub_pos, pre, post, depth, parent_pre, value: one row per node that has a table, or that has one
+    of the paths. No shuffle."""
+    wanted = None if paths is None else frozenset(paths)
     df = df.select(F.col(record_id).alias("record_id"), F.col(page_json).alias("page_json"))
     kind = df.schema["record_id"]
 
@@ -210,7 +252,7 @@ def node_tables(df: DataFrame, record_id: str = "record_id", page_json: str = "p
                 return pa.RecordBatch.from_arrays(columns, names=["record_id"] + [n for n, _ in _FIELDS])
 
             for i, text in enumerate(batch.column(1)):
-                own = page_nodes(text.as_py(), values)
+                own = page_nodes(text.as_py(), values, wanted)
                 rows += own
                 owner += [i] * len(own)
                 if len(rows) > 20_000:
@@ -222,6 +264,24 @@ def node_tables(df: DataFrame, record_id: str = "record_id", page_json: str = "p
     return df.mapInArrow(nodes, T.StructType([T.StructField("record_id", kind.dataType), *_TYPES]))
 
 
-def child_of(child: DataFrame, parent: DataFrame) -> Column:
-    """The condition by which a node lies within another: same record, contained interval."""
-    return (child["record_id"] == parent["record_id"]) & (child["parent_pre"] == parent["pre"]) & (child["pre"] > parent["pre"]) & (child["post"] < parent["post"])
+def typed(nodes: DataFrame, kind: str) -> DataFrame:
+    """record_id, path, pos, sub_pos, pre, post and the columns of one type (TYPES): a table of its own. Values of another
+    type than their column's are null, number-like strings are read."""
+    columns = TYPES[kind]
+    last = F.element_at(F.split("path", r"\."), -1)
+    names = [p for p, k in _TYPE_OF.items() if k == kind] or [kind]
+    own = nodes.where(last.isin(*names)).select("record_id", "path", "pos", "sub_pos", "pre", "post", F.json_tuple("value", *columns).alias(*[f"_{c}" for c in columns]))
+    return own.select("record_id", "path", "pos", "sub_pos", "pre", "post", *[F.col(f"_{c}").try_cast(t).alias(c) for c, t in columns.items()])
+
+
+def within(children: DataFrame, parents: DataFrame, take: list[str], prefix: str = "parent_") -> DataFrame:
+    """children with the columns take of the parent whose interval contains theirs. Both go through one sort of each record by
+    pre: parents of one table don't nest, so only the last that begins before a child can hold it. Children without one
+    are left out."""
+    width = F.struct("pre", "post", *take)
+    tagged = children.withColumn("_p", F.lit(None).cast(parents.select(width.alias("x")).schema["x"].dataType))
+    other = parents.select("record_id", "pre", "post", width.alias("_p"))
+    both = tagged.unionByName(other, allowMissingColumns=True).withColumn("_child", F.col("_p").isNull())
+    over = Window.partitionBy("record_id").orderBy("pre", "_child").rowsBetween(Window.unboundedPreceding, 0)
+    held = both.withColumn("_p", F.last("_p", ignorenulls=True).over(over)).where(F.col("_child") & (F.col("_p.pre") < F.col("pre")) & (F.col("post") < F.col("_p.post")))
+    return held.select(*children.columns, *[F.col(f"_p.{c}").alias(f"{prefix}{c}") for c in take])

@@ -27,14 +27,26 @@ CRITICAL, MAJOR, MINOR = "critical", "major", "minor"
 
 @dataclass(frozen=True)
 class Options:
-    """Tolerances, digits and the severities that can be set; groups of rules that can be left out."""
+    """What is compared, with which tolerances and digits, and the severities that can be set."""
 
     tolerance: float = 0.001
-    digits: int = 2
+    text_hashes: bool = True
+    text_fields: bool = True
     text: str = MAJOR
+    ocr: bool = True
+    geometry_signatures: bool = True
+    digits: int = 2
     geometry: str = MINOR
+    fonts: bool = True
+    confidence: bool = True
+    confidence_tolerance: float = 0.001
+    reading_order: bool = True
+    bitmaps: bool = True
+    widgets: bool = True
+    hyperlinks: bool = True
+    shapes: bool = True
+    context_fields: bool = True
     context: str = MINOR
-    skip: tuple[str, ...] = ()
 
 
 def _keys(items: Column, key: Callable[[Column], Column]) -> Column:
@@ -130,17 +142,17 @@ def _context(p: Column, digits: int) -> dict[str, Column]:
 
 @quick_building()
 def signatures(pages: DataFrame, on: list[str], page_json: str = "page_json", options: Options = Options()) -> DataFrame:
-    """on and sig: one row per page. Narrow; the pages' JSON is parsed once."""
+    """on and sig: one row per page. Narrow; the pages' JSON is checked once, read as a page once, and its top level once."""
     raw = F.coalesce(F.when(F.expr(f"try_parse_json({page_json})").isNotNull(), F.col(page_json)), F.lit("{}"))
-    parsed = pages.select(*on, raw.alias("_raw")).withColumn("_p", F.from_json("_raw", PAGE))
+    parsed = pages.select(*on, raw.alias("_raw")).withColumns({"_p": F.from_json("_raw", PAGE), "_top": F.from_json("_raw", "map<string,string>")})
     p = F.col("_p")
-    there = {f"has_array_{a}": F.col("_raw").isNotNull() & F.coalesce(F.get_json_object("_raw", f"$.{a}").startswith("["), F.lit(False)) for a in ARRAYS}
+    there = {f"has_array_{a}": F.coalesce(F.try_element_at("_top", F.lit(a)).startswith("["), F.lit(False)) for a in ARRAYS}
     empty = {a: F.coalesce(p[a], F.array().cast(parsed.schema["_p"].dataType[a].dataType)) for a in ARRAYS}
-    parts = [F.coalesce(F.json_object_keys("_raw"), F.array().cast("array<string>")).alias("keys")]
+    parts = [F.coalesce(F.map_keys("_top"), F.array().cast("array<string>")).alias("keys")]
     parts += [c.alias(n) for n, c in there.items()]
     parts += [F.size(empty[a]).alias(f"size_{a}") for a in ARRAYS]
     parts += [p[f].alias(f) for f in FLAGS]
-    parts += [p["dimension"]["boundary_type"].alias("boundary"), p["dimension"]["rect"].alias("rect"), F.coalesce(F.get_json_object("_raw", "$.dimension").startswith("{"), F.lit(False)).alias("has_dimension")]
+    parts += [p["dimension"]["boundary_type"].alias("boundary"), p["dimension"]["rect"].alias("rect"), F.coalesce(F.try_element_at("_top", F.lit("dimension")).startswith("{"), F.lit(False)).alias("has_dimension")]
     parts += [F.struct(*[c.alias(n) for n, c in _cells(empty[a], options.digits).items()]).alias(a) for a in CELL_ARRAYS]
     full = F.struct(*[empty[a].alias(a) for a in ARRAYS])
     parts.append(F.struct(*[c.alias(n) for n, c in _context(full, options.digits).items()]).alias("context"))
@@ -183,8 +195,9 @@ def _rules(e: Column, a: Column, o: Options) -> list[Column]:
         def differs(key: str, severity: str, code: str, when: Column | None = None, n: str = n, x: Column = x, y: Column = y, ready: Column = ready) -> None:
             fire(ready & ~x[key].eqNullSafe(y[key]) & (F.lit(True) if when is None else when), severity, code, n)
 
-        if "text" not in o.skip:
+        if o.text_hashes:
             differs("text", MAJOR, "text_hash_mismatch")
+        if o.text_fields:
             for key, code in (("direction", "text_direction"), ("mode", "rendering_mode"), ("length", "text_length"), ("delta", "text_orig_length_delta"), ("font_name", "font_name"), ("font_key", "font_key"), ("color", "text_color")):
                 differs(key, o.text, f"{code}_distribution_mismatch")
             for key, code in (("widgets", "widget_flag"), ("with_text", "text_presence"), ("with_orig", "orig_presence"), ("equal", "text_orig_equality")):
@@ -193,35 +206,40 @@ def _rules(e: Column, a: Column, o: Options) -> list[Column]:
             broken = (x["repeated"] > 0) | (y["repeated"] > 0) | (x["unnumbered"] > 0) | (y["unnumbered"] > 0)
             fire(ready & broken, o.text, "text_index_integrity_mismatch", n)
             differs("map", o.text, "text_index_value_map_mismatch", ~broken)
-        if "ocr" not in o.skip:
+        if o.ocr:
             differs("ocr", MAJOR, "ocr_from_ocr_count_mismatch")
-        if "geometry" not in o.skip:
+        if o.geometry_signatures:
             differs("geometry", o.geometry, "geometry_signature_mismatch")
-        if "font" not in o.skip:
+        if o.fonts:
             differs("font", MAJOR, "font_signature_mismatch")
-        if "confidence" not in o.skip:
+        if o.confidence:
             differs("sure", MAJOR, "confidence_value_count_mismatch")
-            fire(ready & (x["sure"] == y["sure"]) & (F.abs(x["confidence"] - y["confidence"]) > o.tolerance), MINOR, "confidence_mean_mismatch", n)
-        if n == "textline_cells" and "order" not in o.skip:
+            fire(ready & (x["sure"] == y["sure"]) & (F.abs(x["confidence"] - y["confidence"]) > o.confidence_tolerance), MINOR, "confidence_mean_mismatch", n)
+        if n == "textline_cells" and o.reading_order:
             differs("numbered", MAJOR, "reading_order_index_count_mismatch")
             differs("order", MAJOR, "reading_order_index_mismatch", x["numbered"] == y["numbered"])
-    if "context" not in o.skip:
-        x, y = e["context"], a["context"]
-        for code in ("bitmap_resource_signature", "widget_signature", "hyperlink_signature", "shape_signature", "bitmap_mode_distribution", "bitmap_mimetype_distribution", "bitmap_dpi_distribution", "widget_field_type_distribution", "widget_text_presence_count", "hyperlink_scheme_distribution", "hyperlink_host_distribution", "shape_graphics_state_count", "shape_point_count_distribution", "shape_line_cap_distribution", "shape_line_join_distribution", "shape_fill_color_distribution", "shape_stroke_color_distribution"):
-            of = {"bitmap": "bitmap_resources", "widget": "widgets", "hyperlink": "hyperlinks", "shape": "shapes"}[code.split("_")[0]]
-            fire(e[f"has_array_{of}"] & a[f"has_array_{of}"] & ~x[code].eqNullSafe(y[code]), o.context, f"{code}_mismatch", of)
+    x, y = e["context"], a["context"]
+    signatures_ = {"bitmap_resource_signature": o.bitmaps, "widget_signature": o.widgets, "hyperlink_signature": o.hyperlinks, "shape_signature": o.shapes}
+    fields = ("bitmap_mode_distribution", "bitmap_mimetype_distribution", "bitmap_dpi_distribution", "widget_field_type_distribution", "widget_text_presence_count", "hyperlink_scheme_distribution", "hyperlink_host_distribution", "shape_graphics_state_count", "shape_point_count_distribution", "shape_line_cap_distribution", "shape_line_join_distribution", "shape_fill_color_distribution", "shape_stroke_color_distribution")
+    for code in [*[c for c, on in signatures_.items() if on], *(fields if o.context_fields else ())]:
+        of = {"bitmap": "bitmap_resources", "widget": "widgets", "hyperlink": "hyperlinks", "shape": "shapes"}[code.split("_")[0]]
+        fire(e[f"has_array_{of}"] & a[f"has_array_{of}"] & ~x[code].eqNullSafe(y[code]), o.context, f"{code}_mismatch", of)
+    if o.context_fields:
         fire((x["shape_widths"] == y["shape_widths"]) & (x["shape_widths"] > 0) & (F.abs(x["shape_line_width_mean"] - y["shape_line_width_mean"]) > o.tolerance), o.context, "shape_line_width_mean_mismatch", "shapes")
     return out
 
 
 @quick_building()
 def compare(expected: DataFrame, actual: DataFrame, on: list[str], options: Options = Options(), by: list[str] | None = None) -> DataFrame:
-    """on, by, severity, code, message: the differences of the pages both sets hold.
-    by: columns of actual that tell several copies of a page apart; each is held against the one expected page."""
+    """on, by, severity, code, message: the differences of the pages of both sets; a page that only one set holds can't be
+    compared, which is critical. by: columns of actual that tell several copies of a page apart; each is held against the
+    one expected page."""
     by = by or []
     e, a = signatures(expected, on, options=options).withColumnRenamed("sig", "e"), signatures(actual, [*on, *by], options=options).withColumnRenamed("sig", "a")
-    both = e.join(a, on)
-    found = F.filter(F.flatten(F.array(*_rules(F.col("e"), F.col("a"), options))), lambda d: d.isNotNull())
+    both = e.join(a, on, "full_outer")
+    alone = F.when(F.col("e").isNull(), "no expected page").when(F.col("a").isNull(), "no actual page")
+    lost = F.array(F.struct(F.lit(CRITICAL).alias("severity"), F.lit("decode_or_compare_failed").alias("code"), alone.alias("message")))
+    found = F.when(alone.isNotNull(), lost).otherwise(F.filter(F.flatten(F.array(*_rules(F.col("e"), F.col("a"), options))), lambda d: d.isNotNull()))
     return both.select(*on, *by, F.explode(found).alias("d")).select(*on, *by, "d.severity", "d.code", "d.message")
 
 
@@ -235,19 +253,42 @@ def check_pages(expected: DataFrame, documents: DataFrame, doc: str = "doc_key",
     return e.select(doc, page, F.lit(CRITICAL).alias("severity"), code.alias("code")).where("code is not null")
 
 
-def rollup(diffs: DataFrame, doc: str = "doc_key", page: str = "page_no") -> DataFrame:
-    """Counts by severity, and of OCR drift, per page, document and corpus (level 0, 1, 2)."""
+def _counts() -> list[Column]:
     by = lambda s: F.count_if(F.col("severity") == s)
-    out = diffs.rollup(doc, page).agg(F.grouping_id().alias("level_bits"), by(CRITICAL).alias("critical"), by(MAJOR).alias("major"), by(MINOR).alias("minor"), F.count_if(F.col("code").startswith("ocr_")).alias("ocr_drift"))
+    return [by(CRITICAL).alias("critical"), by(MAJOR).alias("major"), by(MINOR).alias("minor"), F.count_if(F.col("code").startswith("ocr_")).alias("ocr_drift")]
+
+
+@dataclass(frozen=True)
+class Thresholds:
+    """The most differences that pass; None is no limit."""
+
+    critical: int | None = 0
+    major: int | None = 0
+    minor: int | None = None
+    ocr_drift: int | None = 0
+
+    def passed(self) -> Column:
+        ok = F.lit(True)
+        for name in ("critical", "major", "minor", "ocr_drift"):
+            if getattr(self, name) is not None:
+                ok = ok & (F.col(name) <= getattr(self, name))
+        return ok
+
+
+def rollup(diffs: DataFrame, pages: DataFrame | None = None, doc: str = "doc_key", page: str = "page_no", thresholds: Thresholds = Thresholds()) -> DataFrame:
+    """Counts by severity, and of OCR drift, per page, document and corpus (level 0, 1, 2), and whether they pass.
+    pages: all that were compared, so that those without any difference have rows too."""
+    own = diffs.select(doc, page, "severity", "code")
+    if pages is not None:
+        own = own.unionByName(pages.select(doc, page).distinct(), allowMissingColumns=True)
+    out = own.rollup(doc, page).agg(F.grouping_id().alias("level_bits"), *_counts())
     level = F.when(F.col("level_bits") == 0, 0).when(F.col("level_bits") == 1, 1).otherwise(2)
-    return out.select(doc, page, level.alias("level"), "critical", "major", "minor", "ocr_drift")
+    return out.select(doc, page, level.alias("level"), "critical", "major", "minor", "ocr_drift", thresholds.passed().alias("passed"))
 
 
-def gate(diffs: DataFrame, critical: int = 0, major: int = 0, minor: int | None = None, ocr_drift: int = 0) -> DataFrame:
+def gate(diffs: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
     """passed, and the corpus's counts: false if any exceeds its threshold."""
-    t = diffs.agg(F.count_if(F.col("severity") == CRITICAL).alias("critical"), F.count_if(F.col("severity") == MAJOR).alias("major"), F.count_if(F.col("severity") == MINOR).alias("minor"), F.count_if(F.col("code").startswith("ocr_")).alias("ocr_drift"))
-    ok = (F.col("critical") <= critical) & (F.col("major") <= major) & (F.col("ocr_drift") <= ocr_drift)
-    return t.withColumn("passed", ok if minor is None else ok & (F.col("minor") <= minor))
+    return diffs.agg(*_counts()).withColumn("passed", thresholds.passed())
 
 
 def discover(files: DataFrame, path: str = "path", documents: int | None = None, pages: int | None = None) -> DataFrame:

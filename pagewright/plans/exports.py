@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import SPACE, document_key, extension, slug
+from pagewright.schema import PAGE
 from pagewright.session import spread, table
 from pagewright.sinks import export
 from pagewright.sources import plain
@@ -41,8 +42,7 @@ def src_text_cells(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def src_markdown_cells(spark: SparkSession, sf: str) -> DataFrame:
-    """Quote marks of replies are read as # so that headings occur; the > becomes # first."""
-    return _cells(spark, sf, plain.markdown_lines(F.translate("text", ">", "#")))
+    return _cells(spark, sf, plain.markdown_lines("text"))
 
 
 def src_csv_cells(spark: SparkSession, sf: str) -> DataFrame:
@@ -63,7 +63,7 @@ def src_xml_cells(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
-    page = page_struct(lay_out(plain.markdown_lines(F.translate("text", ">", "#"))))
+    page = page_struct(lay_out(plain.markdown_lines("text")))
     return spread(table(spark, sf, "documents").where("text is not null").select("doc_id", "text")).select("doc_id", F.lit(1).alias("page_no"), page.alias("page"))
 
 
@@ -85,9 +85,11 @@ def export_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def export_json(spark: SparkSession, sf: str) -> DataFrame:
-    """Whole pages as JSON, by length and number of keys."""
+    """Whole pages written as JSON and read back: their texts, and the place of their last line."""
     j = _pages(spark, sf).select("doc_id", page_json(F.col("page")).alias("json"))
-    return j.select("doc_id", F.size(F.json_object_keys("json")).cast("bigint").alias("keys"), F.expr("cast(get_json_object(json, '$.dimension.rect.r_x2') as double)").alias("width"), F.get_json_object("json", "$.dimension.boundary_type").alias("boundary"))
+    cells = F.from_json("json", PAGE)["textline_cells"]
+    back = j.select("doc_id", F.size(F.json_object_keys("json")).cast("bigint").alias("keys"), cells.alias("c"))
+    return back.select("doc_id", "keys", F.array_join(F.transform("c", lambda c: c["text"]), "\n").alias("texts"), F.coalesce(F.try_element_at("c", F.lit(-1))["rect"]["r_y0"], F.lit(0.0)).alias("last_b"))
 
 
 def dispatch_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -99,10 +101,11 @@ def document_slugs(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("run_id", slug("doc_index", "file_path").alias("slug"), document_key("file_path", "run_id").alias("document_key"))
 
 
+_NO_MARKS = "regexp_replace(line, '^#+', '')"
 _MD_SQL = (
-    f"WITH d AS (SELECT doc_id, [t for t in [{_sql_trim('x')} for x in regexp_split_to_array(replace(text, '>', '#'), '\\r\\n|\\r|\\n')] if t <> ''] AS ls FROM documents WHERE text IS NOT NULL), "
+    f"WITH d AS (SELECT doc_id, {_LINES} AS ls FROM documents WHERE text IS NOT NULL), "
     "e AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS pos FROM d), "
-    f"h AS (SELECT doc_id, pos, starts_with(line, '#') AS h, CASE WHEN starts_with(line, '#') THEN {_sql_trim(chr(114) + 'egexp_replace(line, ' + chr(39) + '^#+' + chr(39) + ', ' + chr(39) * 2 + ')')} ELSE line END AS x FROM e), "
+    f"h AS (SELECT doc_id, pos, starts_with(line, '#') AS h, CASE WHEN starts_with(line, '#') THEN {_sql_trim(_NO_MARKS)} ELSE line END AS x FROM e), "
     f"m AS (SELECT doc_id, CAST(pos AS BIGINT) AS pos, CASE WHEN starts_with(x, '* ') OR starts_with(x, '- ') THEN {_sql_trim('substr(x, 3)')} ELSE x END AS text, CASE WHEN h THEN 'HeadingFont' ELSE 'BodyFont' END AS font FROM h) "
 )
 _SHOWN = f"regexp_matches(text, '[^{SPACE}]')"
@@ -127,7 +130,7 @@ SQL = {
     + f", t AS (SELECT doc_id, string_agg('    <text bbox=\"10,' || CAST(1000 - 14 * pos - 12 AS BIGINT) || ',900,' || CAST(1000 - 14 * pos AS BIGINT) || '\">' || {_HIGH} || '</text>', chr(10) ORDER BY pos) || chr(10) AS body FROM m WHERE {_SHOWN} OR text LIKE '%' || chr(160) || '%' GROUP BY doc_id) "
     + "SELECT d.doc_id, '<document>' || chr(10) || '  <page num=\"1\" width=\"1000\" height=\"1000\">' || chr(10) || coalesce(body, '') || '  </page>' || chr(10) || '</document>' AS content FROM d LEFT JOIN t ON d.doc_id = t.doc_id",
     "export_lines": f"WITH c AS (SELECT DISTINCT doc_key, page_no, cell_id, cell_index, text, font_name FROM textline_cells) SELECT doc_key, regexp_replace(coalesce(string_agg(CASE WHEN lower(coalesce(font_name, '')) LIKE '%heading%' THEN '# ' ELSE '' END || text, chr(10) || chr(10) ORDER BY page_no, cell_index, cell_id) FILTER ({_SHOWN}), ''), '\\s+$', '') AS content FROM c GROUP BY doc_key",
-    "export_json": "SELECT doc_id, CAST(12 AS BIGINT) AS keys, CAST(1000 AS DOUBLE) AS width, 'crop_box' AS boundary FROM documents WHERE text IS NOT NULL",
+    "export_json": _MD_SQL + "SELECT d.doc_id, CAST(12 AS BIGINT) AS keys, coalesce(string_agg(text, chr(10) ORDER BY pos), '') AS texts, coalesce(1000.0 - 14.0 * max(pos) - 12.0, 0.0) AS last_b FROM d LEFT JOIN m ON d.doc_id = m.doc_id GROUP BY d.doc_id",
     "dispatch_counts": "SELECT lower(regexp_extract(file_path, '(\\.[^./\\\\]*)$', 1)) AS ext, count(*) AS files FROM runs GROUP BY 1",
     "document_slugs": f"SELECT run_id, lpad(CAST(doc_index AS VARCHAR), 4, '0') || '-' || CASE WHEN s = '' THEN 'document' ELSE s END AS slug, regexp_replace(stem, '[ .]', '_', 'g') || '_' || run_id AS document_key FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(stem, '[^\\p{{L}}\\p{{Nd}}]', '_', 'g')), '_{{2,}}', '_', 'g'), '^_+', ''), '_+$', '') AS s FROM (SELECT *, {_STEM} AS stem FROM runs))",
     "src_xml_cells": f"WITH c AS (SELECT DISTINCT cell_id, text FROM word_cells WHERE text IS NOT NULL), w AS (SELECT cell_id, [t for t in [{_sql_trim('x')} for x in string_split(text, ' ')] if t <> ''] AS ls FROM c) SELECT cell_id, CAST(generate_subscripts(ls, 1) - 1 AS BIGINT) AS pos, unnest(ls) AS text FROM w",

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagewright.functions.geometry import box, box_rect
 from pagewright.functions.text import extension
-from pagewright.schema import BITMAP, ENVELOPE, PAGE
+from pagewright.schema import ARRAYS, BITMAP, ENVELOPE, PAGE
 from pagewright.sources import files, plain
 from pagewright.sources.layout import lay_out, page_struct
 
@@ -67,30 +68,49 @@ def convert(documents: DataFrame, extra: dict[str, files.Parser] | None = None)
     return a.unionByName(b)
 
 
+#: Arrays that an envelope doesn't have beside its payloads.
+_PAGE_ARRAYS = ("char_cells", "textline_cells", "shapes", "bitmap_resources")
+
+
 def read_segmented(pages: DataFrame, page_json: str = "page_json") -> DataFrame:
     """pages with page, from segmented JSON or a decoded envelope (original, else sanitized; its images and cells become
-    bitmaps and characters, words and lines are empty). Invalid JSON gives null."""
-    j = F.col(page_json)
-    own = F.from_json(j, PAGE)
-    envelope = F.from_json(j, ENVELOPE)
-    keys = F.coalesce(F.json_object_keys(j), F.array().cast("array<string>"))
-    is_envelope = (F.array_contains(keys, "original") | F.array_contains(keys, "sanitized")) & ~F.array_contains(keys, "char_cells") & ~F.array_contains(keys, "textline_cells")
-    e = F.coalesce(envelope["original"], envelope["sanitized"])
-    kind = pages.select(own.alias("p")).schema["p"].dataType
+    bitmaps and characters, words and lines are empty). An envelope has a payload and none of a page's own arrays.
+    A lone object in place of an array is an array of one. Invalid JSON, and an envelope without payload, give null."""
+    parsed = pages.withColumns({"_own": F.from_json(page_json, PAGE), "_env": F.from_json(page_json, ENVELOPE), "_keys": F.coalesce(F.json_object_keys(page_json), F.array().cast("array<string>"))})
+    j, own, envelope, keys = F.col(page_json), F.col("_own"), F.col("_env"), F.col("_keys")
+    has = lambda k: F.array_contains(keys, k)
+    is_envelope = (has("original") | has("sanitized")) & ~F.arrays_overlap(keys, F.array(*[F.lit(k) for k in _PAGE_ARRAYS]))
+    first = envelope["original"].isNotNull()
+    e = lambda n: F.when(first, envelope["original"][n]).otherwise(envelope["sanitized"][n])
+    kind = parsed.schema["_own"].dataType
     none = lambda n: F.array().cast(kind[n].dataType)
-    some = lambda c, n: F.coalesce(c, none(n))
+
+    def whole(c: Column, n: str, lone: Column) -> Column:
+        """An array, or what a lone object in its place gives; looked at again only where no array could be read."""
+        element = kind[n].dataType.elementType
+        if not isinstance(element, T.StructType):
+            return c
+        return F.when(c.isNotNull(), c).otherwise(F.when(lone.startswith("{"), F.array(F.from_json(lone, element))))
+
+    def some(n: str, name: str) -> Column:
+        lone = F.when(first, F.get_json_object(j, f"$.original.{name}")).otherwise(F.get_json_object(j, f"$.sanitized.{name}"))
+        return F.coalesce(whole(e(name), n, lone), none(n))
+
+    page = F.struct(*[(whole(own[f.name], f.name, F.get_json_object(j, f"$.{f.name}")) if f.name in ARRAYS else own[f.name]).alias(f.name) for f in kind.fields])
     projected = F.struct(
-        e["dimension"].alias("dimension"),
-        some(e["images"], "bitmap_resources").alias("bitmap_resources"),
-        some(e["cells"], "char_cells").alias("char_cells"),
+        e("dimension").alias("dimension"),
+        some("bitmap_resources", "images").alias("bitmap_resources"),
+        some("char_cells", "cells").alias("char_cells"),
         none("word_cells").alias("word_cells"),
         none("textline_cells").alias("textline_cells"),
-        (F.size(some(e["cells"], "char_cells")) > 0).alias("has_chars"),
+        F.lit(False).alias("has_chars"),
         F.lit(False).alias("has_words"),
         F.lit(False).alias("has_lines"),
-        some(e["widgets"], "widgets").alias("widgets"),
-        some(e["hyperlinks"], "hyperlinks").alias("hyperlinks"),
+        some("widgets", "widgets").alias("widgets"),
+        some("hyperlinks", "hyperlinks").alias("hyperlinks"),
         none("lines").alias("lines"),
-        some(e["shapes"], "shapes").alias("shapes"),
+        some("shapes", "shapes").alias("shapes"),
     )
-    return pages.withColumn("page", F.when(is_envelope, F.when(e.isNotNull(), projected)).otherwise(own))
+    payload = first | envelope["sanitized"].isNotNull()
+    out = F.when(is_envelope, F.when(payload, projected)).when(own.isNotNull(), page)
+    return parsed.withColumn("page", out).withColumn("page", F.when(is_envelope & F.col("page").isNotNull(), F.col("page").withField("has_chars", F.size("page.char_cells") > 0)).otherwise(F.col("page"))).drop("_own", "_env", "_keys")

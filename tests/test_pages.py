@@ -194,6 +194,9 @@ def test_nodes(spark):
     assert [read_json(x) for x in ("{", "", None, "NaN", '{"a":1} x')] == [None] * 5
     assert page_nodes('{"original":null,"sanitized":{"cells":[{}],"images":{}}}')[0][0] == "char_cells"
     assert page_nodes("[1]") == [] and page_nodes('{"original":null}') == []
+    assert [r[:2] for r in page_nodes(text, paths=frozenset(["shapes.points"]))] == [("shapes.points", 1)] * 2
+    more = page_nodes('{"bitmap_resources":[null,{"image":{"size":{"width":1}},"rect":{"r_x0":1}}],"word_cells":[{"rgba":{"r":1},"rect":{}}],"shapes":[{"dash_array":[1,2],"rgb_filling":{"r":2}}],"widgets":[{"rect":{}}]}')
+    assert sorted(r[:3] for r in more if "." in r[0]) == [("bitmap_resources.image", 1, -1), ("bitmap_resources.image.size", 1, -1), ("bitmap_resources.rect", 1, -1), ("shapes.dash_array", 0, 0), ("shapes.dash_array", 0, 1), ("shapes.rgb_filling", 0, -1), ("widgets.rect", 0, -1), ("word_cells.rect", 0, -1), ("word_cells.rgba", 0, -1)]
     deep = '{"shapes":[' + "[" * 50000 + "]" * 50000 + "]}"
     assert [r[:2] for r in page_nodes(deep, values=False)] == [("shapes", 0)]
     df = spark.createDataFrame([(1, text, 5), (None, text, 5), (2, None, 5), (3, "no", 5)], "record_id long, page_json string, path int")
@@ -251,3 +254,15 @@ def test_groups_over_batches_and_clashing_names(spark):
     rows = got.collect()
     assert len(rows) == 30_000 and all(r.size == want[r.k] for r in rows) and sum(r.at == 0 for r in rows) == len(want)
     assert per_group(df.limit(0), ["k"], ["id"], lambda g: ([],), "x int").count() == 0
+
+
+def test_typed_tables_and_containment(spark):
+    from pagewright.operators.nested import typed, within
+
+    text = '{"bitmap_resources":[{"index":"7","image":{"mimetype":"image/png","dpi":"72","size":{"width":3,"height":"x"}}},{"index":8,"image":[1]},5],"shapes":[{"points":[[1,2]]}]}'
+    nodes = node_tables(spark.createDataFrame([(1, text), (2, text), (3, None)], "record_id long, page_json string"))
+    bitmaps, images, sizes = (typed(nodes, k) for k in ("bitmap", "image", "size"))
+    assert sorted((r.record_id, r.pos, r.index) for r in bitmaps.where("record_id = 1").collect() if r.index) == [(1, 0, 7), (1, 1, 8)]
+    held = within(sizes, within(images, bitmaps, ["index"], "bitmap_"), ["bitmap_index", "mimetype", "dpi"], "image_").collect()
+    assert sorted((r.record_id, r.image_bitmap_index, r.image_mimetype, r.image_dpi, r.width, r.height) for r in held) == [(i, 7, "image/png", 72, 3.0, None) for i in (1, 2)]
+    assert within(typed(nodes, "rect"), bitmaps, ["index"]).count() == 0 and within(sizes, bitmaps.limit(0), ["index"]).count() == 0

@@ -19,14 +19,14 @@ BASE = {
     "bitmap_resources": [{"index": 0, "rect": RECT, "uri": "u", "image": None, "mode": "placeholder"}],
     "char_cells": [],
     "word_cells": [],
-    "textline_cells": [cell(0, 0, 0.9, "FontA"), cell(1, 1, 0.8, "FontB")],
+    "textline_cells": [cell(0, 0, 0.7, "Body"), cell(1, 1, 0.6, "Mono")],
     "has_chars": False,
     "has_words": False,
     "has_lines": True,
     "widgets": [{"index": 0, "rect": RECT, "widget_text": "w", "widget_description": None, "widget_field_name": "n", "widget_field_type": "Tx"}],
     "hyperlinks": [{"index": 0, "rect": RECT, "uri": "https://Example.com/a"}],
     "lines": [],
-    "shapes": [{"index": 0, "parent_id": 0, "points": [[0.0, 0.0], [1.0, 1.0]], "coord_origin": "BOTTOMLEFT", "has_graphics_state": True, "line_width": 1.0, "miter_limit": 10.0, "line_cap": 0, "line_join": 1, "dash_phase": 0.0, "dash_array": [1.0, 2.0], "flatness": 0.0, "rgb_stroking": RGBA, "rgb_filling": RGBA}],
+    "shapes": [{"index": 0, "parent_id": 0, "points": [[0.0, 0.0], [1.0, 1.0]], "coord_origin": "BOTTOMLEFT", "has_graphics_state": True, "line_width": 1.0, "miter_limit": 4.0, "line_cap": 0, "line_join": 1, "dash_phase": 0.0, "dash_array": [3.0, 1.0], "flatness": 0.0, "rgb_stroking": RGBA, "rgb_filling": RGBA}],
 }
 LINE = lambda k, v: lambda p: p["textline_cells"][0].__setitem__(k, v)
 CHANGES = {
@@ -52,6 +52,22 @@ CHANGES = {
     "shape": (lambda p: p["shapes"][0].update(line_width=2.0), {"shape_signature_mismatch", "shape_line_width_mean_mismatch"}),
     "state": (lambda p: p["shapes"][0].update(has_graphics_state=False), {"shape_graphics_state_count_mismatch"}),
     "extra": (lambda p: p.update(unknown=1), {"unexpected_top_level_key"}),
+    "boundary": (lambda p: p["dimension"].update(boundary_type="media_box"), {"dimension_boundary_type_mismatch"}),
+    "no dimension": (lambda p: p.pop("dimension"), {"actual_dimension_missing"}),
+    "no flag": (lambda p: p.pop("has_lines"), {"actual_boolean_missing"}),
+    "long": (LINE("text", "a longer text"), {"text_length_distribution_mismatch", "text_orig_length_delta_distribution_mismatch"}),
+    "blank": (LINE("text", "\u2003 "), {"text_presence_count_mismatch"}),
+    "no orig": (LINE("orig", None), {"orig_presence_count_mismatch"}),
+    "font key": (LINE("font_key", "j"), {"font_key_distribution_mismatch"}),
+    "colour": (LINE("rgba", RGBA | {"g": 9}), {"text_color_distribution_mismatch"}),
+    "no index": (LINE("index", None), {"reading_order_index_count_mismatch"}),
+    "image": (lambda p: p["bitmap_resources"][0].update(image={"mimetype": "image/png", "dpi": 72, "size": {"width": 1, "height": 1}}), {"bitmap_mimetype_distribution_mismatch", "bitmap_dpi_distribution_mismatch"}),
+    "blank widget": (lambda p: p["widgets"][0].update(widget_text=""), {"widget_text_presence_count_mismatch"}),
+    "points": (lambda p: p["shapes"][0]["points"].append([2.0, 2.0]), {"shape_point_count_distribution_mismatch"}),
+    "cap": (lambda p: p["shapes"][0].update(line_cap=2), {"shape_line_cap_distribution_mismatch"}),
+    "join": (lambda p: p["shapes"][0].update(line_join=2), {"shape_line_join_distribution_mismatch"}),
+    "fill": (lambda p: p["shapes"][0].update(rgb_filling=RGBA | {"r": 1}), {"shape_fill_color_distribution_mismatch"}),
+    "stroke": (lambda p: p["shapes"][0].update(rgb_stroking=RGBA | {"r": 1}), {"shape_stroke_color_distribution_mismatch"}),
 }
 
 
@@ -73,6 +89,48 @@ def test_change_gives_its_codes(diffs, name):
     assert codes >= CHANGES[name][1] and (name != "same" or not codes)
 
 
+def test_what_the_expected_page_lacks(spark):
+    p = {k: v for k, v in BASE.items() if k not in ("dimension", "shapes", "has_lines")}
+    df = lambda x: spark.createDataFrame([("a", 1, json.dumps(x))], "doc_key string, page_no int, page_json string")
+    codes = {r["code"] for r in compare(df(p), df(BASE), ["doc_key", "page_no"]).collect()}
+    assert codes >= {"missing_required_top_level_key_expected", "expected_array_missing", "expected_boolean_missing", "expected_dimension_missing", "unexpected_top_level_key"}
+
+
+def test_pages_of_one_set_only(spark):
+    df = lambda *n: spark.createDataFrame([("a", i, json.dumps(BASE)) for i in n], "doc_key string, page_no int, page_json string")
+    got = compare(df(1, 2), df(2, 3), ["doc_key", "page_no"])
+    assert sorted((r["page_no"], r["severity"], r["code"], r["message"]) for r in got.collect()) == [(1, "critical", "decode_or_compare_failed", "no actual page"), (3, "critical", "decode_or_compare_failed", "no expected page")]
+    levels = {(r["doc_key"], r["page_no"], r["level"]): r["passed"] for r in rollup(got, df(1, 2, 3)).collect()}
+    assert levels == {("a", 1, 0): False, ("a", 2, 0): True, ("a", 3, 0): False, ("a", None, 1): False, (None, None, 2): False}
+
+
+@pytest.mark.parametrize(
+    "option,change,code",
+    [
+        ({"text_hashes": False}, "text", "text_hash_mismatch"),
+        ({"text_fields": False}, "mode", "rendering_mode_distribution_mismatch"),
+        ({"ocr": False}, "ocr", "ocr_from_ocr_count_mismatch"),
+        ({"geometry_signatures": False}, "geometry", "geometry_signature_mismatch"),
+        ({"digits": -2}, "geometry", "geometry_signature_mismatch"),
+        ({"fonts": False}, "font", "font_signature_mismatch"),
+        ({"confidence": False}, "no confidence", "confidence_value_count_mismatch"),
+        ({"confidence_tolerance": 1.0}, "confidence", "confidence_mean_mismatch"),
+        ({"tolerance": 100.0}, "dimension", "dimension_rect_mismatch"),
+        ({"reading_order": False}, "swap", "reading_order_index_mismatch"),
+        ({"bitmaps": False}, "bitmap", "bitmap_resource_signature_mismatch"),
+        ({"widgets": False}, "field", "widget_signature_mismatch"),
+        ({"hyperlinks": False}, "link", "hyperlink_signature_mismatch"),
+        ({"shapes": False}, "shape", "shape_signature_mismatch"),
+        ({"context_fields": False}, "state", "shape_graphics_state_count_mismatch"),
+    ],
+)
+def test_options_leave_out(spark, option, change, code):
+    p = copy.deepcopy(BASE)
+    CHANGES[change][0](p)
+    df = lambda x: spark.createDataFrame([("a", 1, json.dumps(x))], "doc_key string, page_no int, page_json string")
+    assert code not in {r["code"] for r in compare(df(BASE), df(p), ["doc_key", "page_no"], Options(**option)).collect()}
+
+
 def test_rollup_and_gate(diffs):
     g = gate(diffs).first()
     top = [r for r in rollup(diffs).collect() if r["level"] == 2][0]

@@ -12,7 +12,7 @@ from pagewright.llm.encoding import garbled_cells
 from pagewright.llm.mixing import mix
 from pagewright.llm.moderation import moderate, rates
 from pagewright.llm.packing import CAPACITY, containers
-from pagewright.llm.runs import repeated_runs
+from pagewright.llm.runs import exact_runs, repeated_runs
 from pagewright.llm.splitting import LIMIT, split_texts
 from pagewright.llm.transcripts import speaker_turns
 from pagewright.session import table
@@ -72,6 +72,11 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return p6_runs(spark, sf).select("audio_key", "first_segment_id", "last_segment_id")
 
 
+def p6_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of segments whose text is the same to the letter, by the same walk."""
+    return exact_runs(table(spark, sf, "asr_segments")).select("audio_key", "first_segment_id", "last_segment_id", "count", "start_time", "end_time")
+
+
 def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
     return containers(table(spark, sf, "documents").select("doc_id", "text"))
 
@@ -102,8 +107,12 @@ def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
     return rates(p9_scores(spark, sf))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_turns, p3_found, p3_canonical, p5_found, p5_pieces, p6_found, p6_runs, p7_containers, p7_fill, p8_mix, p8_shares, p9_found, p9_scores, p9_rates)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_turns, p3_found, p3_canonical, p5_found, p5_pieces, p6_found, p6_runs, p6_exact, p7_containers, p7_fill, p8_mix, p8_shares, p9_found, p9_scores, p9_rates)}
 
 SQL: dict[str, str] = {
+    "p6_exact": "WITH s AS (SELECT DISTINCT audio_key, segment_id, start_time, end_time, text FROM asr_segments WHERE audio_key IS NOT NULL AND segment_id IS NOT NULL AND start_time IS NOT NULL), "
+    "n AS (SELECT *, coalesce(lag(text) OVER w = text AND trim(text, ' ') <> '', false) AS again FROM s WINDOW w AS (PARTITION BY audio_key ORDER BY start_time, segment_id)), "
+    "r AS (SELECT *, sum(CASE WHEN again THEN 0 ELSE 1 END) OVER (PARTITION BY audio_key ORDER BY start_time, segment_id) AS run FROM n) "
+    "SELECT audio_key, arg_min(segment_id, (start_time, segment_id)) AS first_segment_id, arg_max(segment_id, (start_time, segment_id)) AS last_segment_id, count(*) AS count, min(start_time) AS start_time, max(greatest(coalesce(end_time, start_time), start_time)) AS end_time FROM r GROUP BY audio_key, run HAVING count(*) > 1",
     "p5_found": "SELECT DISTINCT cell_id FROM textline_cells WHERE length(text) > 320",
 }

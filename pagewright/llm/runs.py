@@ -196,22 +196,38 @@ def _slips(asked: DataFrame, counts: DataFrame) -> DataFrame:
     return pairs.where("one").select("a", "b").unionByName(two).distinct()
 
 
+_ROW = ("audio_key", "start_time", "segment_id", "end_time", "said", "sig")
+
+
 def repeated_runs(df: DataFrame, least: int = 2, partitions: int | None = None) -> DataFrame:
     """audio_key, first_segment_id, last_segment_id, text, count, start_time, end_time, duration of runs of at least so many segments."""
     said = read_segments(df)
     words, notes = F.col("words") != "", F.col("notes") != ""
     sig = F.when(words, F.col("words")).when(notes, F.concat(F.lit("♪"), "notes"))
     label = F.when(words, F.col("said")).otherwise(F.replace("notes", F.lit("\t"), F.lit(", ")))
-    rows = said.select("audio_key", "start_time", "segment_id", usable_end().alias("end_time"), label.alias("said"), sig.alias("sig"))
+    rows = said.withColumns({"end_time": usable_end(), "said": label, "sig": sig}).select(*_ROW)
+    # the segments of all words tell which differences are slips
+    counts = cut_lineage(said.where(words).select(F.explode(F.array_distinct(F.split("words", " "))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")))
+    return _collapsed(rows, counts, least, partitions)
+
+
+def exact_runs(df: DataFrame, least: int = 2, partitions: int | None = None) -> DataFrame:
+    """As repeated_runs, of segments whose text is the same to the letter; null and blank text is never in a run."""
+    own = df.where("audio_key is not null and segment_id is not null and start_time is not null")
+    own = own.withColumns({c: F.col(c).cast("double") for c in ("start_time", "end_time")})
+    sig = F.when(F.trim("text") != "", F.concat(F.lit("♪"), "text"))
+    rows = own.withColumns({"end_time": usable_end(), "said": F.col("text"), "sig": sig}).select(*_ROW)
+    return _collapsed(rows, df.sparkSession.createDataFrame([], "w string, n bigint"), least, partitions)
+
+
+def _collapsed(rows: DataFrame, counts: DataFrame, least: int, partitions: int | None) -> DataFrame:
+    """The runs of rows (_ROW), in which words are slips by the number of segments that hold them (w, n)."""
     walked = cut_lineage(in_order(rows, ["audio_key", "start_time", "segment_id"], _run_parts, _PARTS, partitions))
     edges = walked.where("kind = 'edge'").select("partition", "head", "audio_key", "first_segment_id", "count", "sig_1", "sig_2", "id_2")
     across = cut_lineage(in_order(edges, ["partition", "head"], _across, f"partition int, head int, {_LINKS}", 1))  # two rows a partition
     parts = walked.where("kind = 'part'").drop("kind", "sig_1", "sig_2", "id_2").join(F.broadcast(across.select("partition", "head", F.struct("sure", "d1", "d2", "d12").alias("across"))), ["partition", "head"], "left")
     parts = parts.withColumns({c: F.when(F.col("across").isNotNull(), F.col(f"across.{c}")).otherwise(F.col(c)) for c in ("sure", "d1", "d2", "d12")}).drop("across")
 
-    # the segments of all words tell which differences are slips
-    counts = cut_lineage(said.where(words).select(F.explode(F.array_distinct(F.split("words", " "))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")))
-
     def placed(p: Column) -> Column:
         """A difference in one order of its words, with the segments these stand in."""
         turned = p["x"] > p["y"]

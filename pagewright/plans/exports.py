@@ -153,7 +153,7 @@ def src_segmented_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Segmented JSON and envelopes as typed pages, by their sizes."""
     p = read_segmented(table(spark, sf, "segmented_pages"))
     n = lambda c: F.coalesce(F.size(f"page.{c}"), F.lit(-1)).alias(c)
-    return p.select("record_id", n("char_cells"), n("textline_cells"), n("shapes"), n("bitmap_resources"), F.col("page.has_chars").alias("has_chars"))
+    return p.select("record_id", n("char_cells"), n("textline_cells"), n("shapes"), n("bitmap_resources"))
 
 
 QUERIES.update({f.__name__: f for f in (src_html_cells, src_mail_pages, src_segmented_pages)})

@@ -94,3 +94,19 @@ SQL: dict[str, str] = {
     "k AS (SELECT record_id, pos, i, unnest(ps) AS q, generate_subscripts(ps, 1) - 1 AS sub FROM n) "
     "SELECT DISTINCT record_id, CAST(pos AS BIGINT) AS shape_pos, i AS shape_index, CAST(sub AS BIGINT) AS point_pos, TRY_CAST(json_extract_string(q, '$[0]') AS DOUBLE) AS x, TRY_CAST(json_extract_string(q, '$[1]') AS DOUBLE) AS y FROM k",
 }
+_OBJECT = "SELECT path || '.{0}' AS path, 1 AS n FROM e WHERE path IN ({1}) AND json_type(x) = 'OBJECT' AND coalesce(json_type(x, '$.{0}'), 'NULL') <> 'NULL'"
+_ENTRIES = "SELECT path || '.{0}', CASE json_type(x, '$.{0}') WHEN 'ARRAY' THEN json_array_length(x, '$.{0}') ELSE 1 END FROM e WHERE path = 'shapes' AND json_type(x) = 'OBJECT' AND coalesce(json_type(x, '$.{0}'), 'NULL') <> 'NULL'"
+_WITH_CELLS = "'char_cells', 'word_cells', 'textline_cells'"
+_COUNTED = (
+    *(_OBJECT.format(n, p) for n, p in (("source", _WITH_CELLS), ("rgba", _WITH_CELLS), ("rect", _WITH_CELLS + ", 'bitmap_resources', 'widgets', 'hyperlinks'"), ("image", "'bitmap_resources'"), ("image.size", "'bitmap_resources'"), ("rgb_stroking", "'shapes'"), ("rgb_filling", "'shapes'"))),
+    *(_ENTRIES.format(n) for n in ("points", "dash_array")),
+)
+SQL["p4_paths"] = _elements(*_CELL_ARRAYS, ("shapes", "shapes"), ("bitmap_resources", "images"), ("widgets", "widgets"), ("hyperlinks", "hyperlinks")) + " SELECT path, CAST(sum(n) AS BIGINT) AS nodes FROM (SELECT path, 1 AS n FROM e UNION ALL " + " UNION ALL ".join(_COUNTED) + ") GROUP BY 1 HAVING sum(n) > 0"
+#: Sizes of a page's arrays: -1 where there is none; an envelope's are never null.
+_SIZE = "CASE WHEN b IS NULL OR json_type(b) <> 'OBJECT' THEN -1 WHEN env THEN {1} ELSE coalesce(CASE json_type(b, '$.{0}') WHEN 'ARRAY' THEN json_array_length(b, '$.{0}') WHEN 'OBJECT' THEN 1 END, -1) END"
+_INNER = "coalesce(CASE json_type(b, '$.{0}') WHEN 'ARRAY' THEN json_array_length(b, '$.{0}') WHEN 'OBJECT' THEN 1 END, 0)"
+SQL["src_segmented_pages"] = (
+    f"WITH p AS (SELECT record_id, CASE WHEN json_valid(page_json) THEN CAST(page_json AS JSON) END AS j FROM segmented_pages), q AS (SELECT record_id, coalesce({_ENVELOPE}, false) AS env, CASE WHEN coalesce({_ENVELOPE}, false) THEN CASE WHEN coalesce(json_type(j, '$.original'), 'NULL') <> 'NULL' THEN json_extract(j, '$.original') ELSE json_extract(j, '$.sanitized') END ELSE j END AS b FROM p) SELECT record_id, "
+    + ", ".join(f"CAST({_SIZE.format(n, '0' if inner is None else _INNER.format(inner))} AS INT) AS {n}" for n, inner in (("char_cells", "cells"), ("textline_cells", None), ("shapes", "shapes"), ("bitmap_resources", "images")))
+    + " FROM q"
+)

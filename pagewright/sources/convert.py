@@ -76,8 +76,10 @@ def read_segmented(pages: DataFrame, page_json: str = "page_json") -> DataFrame:
     """pages with page, from segmented JSON or a decoded envelope (original, else sanitized; its images and cells become
     bitmaps and characters, words and lines are empty). An envelope has a payload and none of a page's own arrays.
     A lone object in place of an array is an array of one. Invalid JSON, and an envelope without payload, give null."""
-    parsed = pages.withColumns({"_own": F.from_json(page_json, PAGE), "_env": F.from_json(page_json, ENVELOPE), "_keys": F.coalesce(F.json_object_keys(page_json), F.array().cast("array<string>"))})
-    j, own, envelope, keys = F.col(page_json), F.col("_own"), F.col("_env"), F.col("_keys")
+    # a text that is cut would be read in part
+    valid = F.try_parse_json(page_json).isNotNull()
+    parsed = pages.withColumn("_json", F.when(valid, F.col(page_json))).withColumns({"_own": F.from_json("_json", PAGE), "_env": F.from_json("_json", ENVELOPE), "_keys": F.coalesce(F.json_object_keys("_json"), F.array().cast("array<string>"))})
+    j, own, envelope, keys = F.col("_json"), F.col("_own"), F.col("_env"), F.col("_keys")
     has = lambda k: F.array_contains(keys, k)
     is_envelope = (has("original") | has("sanitized")) & ~F.arrays_overlap(keys, F.array(*[F.lit(k) for k in _PAGE_ARRAYS]))
     first = envelope["original"].isNotNull()
@@ -113,4 +115,4 @@ def read_segmented(pages: DataFrame, page_json: str = "page_json") -> DataFrame:
     )
     payload = first | envelope["sanitized"].isNotNull()
     out = F.when(is_envelope, F.when(payload, projected)).when(own.isNotNull(), page)
-    return parsed.withColumn("page", out).withColumn("page", F.when(is_envelope & F.col("page").isNotNull(), F.col("page").withField("has_chars", F.size("page.char_cells") > 0)).otherwise(F.col("page"))).drop("_own", "_env", "_keys")
+    return parsed.withColumn("page", out).withColumn("page", F.when(is_envelope & F.col("page").isNotNull(), F.col("page").withField("has_chars", F.size("page.char_cells") > 0)).otherwise(F.col("page"))).drop("_json", "_own", "_env", "_keys")

@@ -21,6 +21,7 @@ from pagewright.functions import geometry as g
 from pagewright.operators import layout, reading_order
 from pagewright.operators.pipeline import FAILED, SKIPPED, STAGES, SUCCEEDED, Policy, Provider, provider_chain, run_ocr, stop_on_failure
 from pagewright.schema import CELL
+from pagewright.session import cut_lineage
 from pagewright.sources.convert import read_segmented
 from pagewright.sources.layout import cell, page_json
 
@@ -212,11 +213,11 @@ def convert_documents(
     A document without file_path can't be asked for: it fails before the first stage. One without pages fails to load.
     Of a page that stands several times the least row counts."""
     docs = with_run_ids(documents, of=tuple(c for c in ("doc_index", "file_path") if c in documents.columns)).dropDuplicates(["doc_key"])
-    decoded = decoder(pages).select(*KEY, "page", "error")
+    decoded = cut_lineage(decoder(pages).select(*KEY, "page", "error"))  # each page is decoded once
     # pages of a document are counted without being gathered
     within = decoded if request.max_pages is None else decoded.where(F.col("page_no") <= request.max_pages)
     bad = F.col("error").isNotNull()
-    every = pages.groupBy("doc_key").agg(F.count_distinct("page_no").cast("int").alias("page_count"))
+    every = decoded.groupBy("doc_key").agg(F.count_distinct("page_no").cast("int").alias("page_count"))
     stop = within.groupBy("doc_key").agg(F.min(F.when(bad, F.struct("page_no", "error"))).alias("first"))
     if request.continue_on_page_error:
         kept = within.where(~bad)

@@ -17,6 +17,8 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
+        .config("spark.sql.ui.retainedExecutions", "5")  # else the plans of all tests stay in the driver
+        .config("spark.sql.maxPlanStringLength", "100000")
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")

@@ -262,7 +262,7 @@ def test_typed_tables_and_containment(spark):
     text = '{"bitmap_resources":[{"index":"7","image":{"mimetype":"image/png","dpi":"72","size":{"width":3,"height":"x"}}},{"index":8,"image":[1]},5],"shapes":[{"points":[[1,2]]}]}'
     nodes = node_tables(spark.createDataFrame([(1, text), (2, text), (3, None)], "record_id long, page_json string"))
     bitmaps, images, sizes = (typed(nodes, k) for k in ("bitmap", "image", "size"))
-    assert sorted((r.record_id, r.pos, r.index) for r in bitmaps.where("record_id = 1").collect() if r.index) == [(1, 0, 7), (1, 1, 8)]
+    assert sorted((r.record_id, r.pos, r["index"]) for r in bitmaps.where("record_id = 1").collect() if r["index"]) == [(1, 0, 7), (1, 1, 8)]
     held = within(sizes, within(images, bitmaps, ["index"], "bitmap_"), ["bitmap_index", "mimetype", "dpi"], "image_").collect()
     assert sorted((r.record_id, r.image_bitmap_index, r.image_mimetype, r.image_dpi, r.width, r.height) for r in held) == [(i, 7, "image/png", 72, 3.0, None) for i in (1, 2)]
     assert within(typed(nodes, "rect"), bitmaps, ["index"]).count() == 0 and within(sizes, bitmaps.limit(0), ["index"]).count() == 0

@@ -104,31 +104,21 @@ def test_pages_of_one_set_only(spark):
     assert levels == {("a", 1, 0): False, ("a", 2, 0): True, ("a", 3, 0): False, ("a", None, 1): False, (None, None, 2): False}
 
 
-@pytest.mark.parametrize(
-    "option,change,code",
-    [
-        ({"text_hashes": False}, "text", "text_hash_mismatch"),
-        ({"text_fields": False}, "mode", "rendering_mode_distribution_mismatch"),
-        ({"ocr": False}, "ocr", "ocr_from_ocr_count_mismatch"),
-        ({"geometry_signatures": False}, "geometry", "geometry_signature_mismatch"),
-        ({"digits": -2}, "geometry", "geometry_signature_mismatch"),
-        ({"fonts": False}, "font", "font_signature_mismatch"),
-        ({"confidence": False}, "no confidence", "confidence_value_count_mismatch"),
-        ({"confidence_tolerance": 1.0}, "confidence", "confidence_mean_mismatch"),
-        ({"tolerance": 100.0}, "dimension", "dimension_rect_mismatch"),
-        ({"reading_order": False}, "swap", "reading_order_index_mismatch"),
-        ({"bitmaps": False}, "bitmap", "bitmap_resource_signature_mismatch"),
-        ({"widgets": False}, "field", "widget_signature_mismatch"),
-        ({"hyperlinks": False}, "link", "hyperlink_signature_mismatch"),
-        ({"shapes": False}, "shape", "shape_signature_mismatch"),
-        ({"context_fields": False}, "state", "shape_graphics_state_count_mismatch"),
-    ],
-)
-def test_options_leave_out(spark, option, change, code):
-    p = copy.deepcopy(BASE)
-    CHANGES[change][0](p)
-    df = lambda x: spark.createDataFrame([("a", 1, json.dumps(x))], "doc_key string, page_no int, page_json string")
-    assert code not in {r["code"] for r in compare(df(BASE), df(p), ["doc_key", "page_no"], Options(**option)).collect()}
+def test_options_leave_out(spark):
+    """Without any of the groups only the structure is compared; tolerances hold for means and sizes."""
+    changes = ("text", "mode", "ocr", "geometry", "font", "no confidence", "index", "bitmap", "field", "link", "shape", "state", "flag")
+    rows = []
+    for name in (*changes, "confidence", "dimension"):
+        p = copy.deepcopy(BASE)
+        CHANGES[name][0](p)
+        rows.append((name, 1, json.dumps(p)))
+    schema = "doc_key string, page_no int, page_json string"
+    expected, actual = spark.createDataFrame([(n, 1, json.dumps(BASE)) for n, _, _ in rows], schema), spark.createDataFrame(rows, schema)
+    groups = ("text_hashes", "text_fields", "ocr", "geometry_signatures", "fonts", "confidence", "reading_order", "bitmaps", "widgets", "hyperlinks", "shapes", "context_fields")
+    off = compare(expected, actual, ["doc_key", "page_no"], Options(**dict.fromkeys(groups, False))).collect()
+    assert {r["code"] for r in off} == {"boolean_mismatch", "dimension_rect_mismatch"}
+    wide = compare(expected, actual, ["doc_key", "page_no"], Options(tolerance=100.0, confidence_tolerance=1.0)).where("code in ('dimension_rect_mismatch', 'confidence_mean_mismatch') and doc_key in ('confidence', 'dimension')")
+    assert wide.count() == 0
 
 
 def test_rollup_and_gate(diffs):
